@@ -31,7 +31,7 @@ from ampspark.llm.common import stored, text_or_empty
 LENGTH = 2048
 FINAL_ID = 1
 SHARD = 20_000
-MEMO = 400_000
+MEMO = 900_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -49,6 +49,20 @@ class Encoder:
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Through the memo where a word is letters and marks, or differs in ASCII case only."""
+        core = word.rstrip(".,;:!?")
+        if core != word and core.isalpha():
+            parts = (core, word[len(core) :])
+        elif word.isascii() and word != word.lower() and "<|" not in word:
+            parts = (word.lower(),)
+        else:
+            return self._encode(word)
+        for p in parts:
+            if p not in self.memo:
+                self.memo[p] = self._word(p)
+        return b"".join(map(self.memo.__getitem__, parts))
+
     def __call__(self, text: str) -> bytes:
         import re
 
@@ -56,7 +70,7 @@ class Encoder:
             return self._encode(text)
         words, memo = text.split(), self.memo
         for w in set(words).difference(memo):
-            memo[w] = self._encode(w)
+            memo[w] = self._word(w)
         out = b"".join(map(memo.__getitem__, words))
         if len(memo) > MEMO:
             memo.clear()

@@ -1,15 +1,443 @@
-"""Registered queries of the read-clustering engine."""
+"""Registered queries of the read-clustering engine, each beside the SQL that computes the same.
+
+Reads are made from whole document texts (see ``reads.surrogate_reads``), clusters and
+classes from the documents' sources and languages, intervals from events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ampspark.functions import kernels
+from ampspark.functions import sequence as S
+from ampspark.operators import evaluate, hits, leader, reads
+
+K, W, Q = 13, 20, 9.5
+FOUND: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(sql: str | None):
+    def add(f: Callable) -> Callable:
+        FOUND[f.__name__] = f, sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in FOUND.items() if sql}
+
+
+def T(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+X = f"""WITH x AS (SELECT doc_id AS read_id, CAST(doc_id AS VARCHAR) AS acc, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS x, lang, source FROM documents),
+r AS (SELECT read_id, acc, translate(x, '{reads.LETTERS}', '{reads.BASES}') AS seq, translate(x, '{reads.LETTERS}', '{reads.QUALS}') AS qual, lang, source FROM x)"""
+HPC = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')"
+P = "power(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE)"
+U = f"""{X}, e AS (SELECT *, {HPC} AS hpc, CASE WHEN length(qual) > 0 THEN list_sum(list_transform(string_split(qual, ''), lambda c: {P})) / length(qual) END AS error_rate FROM r),
+u AS (SELECT * FROM e WHERE length(seq) >= {2 * K} AND length(hpc) >= {K} AND -10 * log10(error_rate) > {Q})"""
+SC = f"""{U}, ok AS (SELECT *, list_transform(string_split(qual, ''), lambda c: 1 - least({P}, 0.79433)) AS ok FROM u),
+sc AS (SELECT *, list_sum(list_transform(range(1, length(qual) - {K} + 2), lambda i: list_product(ok[i:i + {K} - 1]))) AS score FROM ok)"""
+
+
+def mins(source: str, stop: str = "", name: str = "mm") -> str:
+    """Minimizers of ``source`` (read_id, hpc): windows of W - K + 1 k-mers."""
+    per = W - K + 1
+    count = f"greatest(length(hpc) - {K} + 1, {per})" if not stop else f"greatest(length(hpc) - {K} + 1 - CASE WHEN length(hpc) > {W} THEN 1 ELSE 0 END, 1)"
+    return f"""{name}k AS (SELECT read_id, length(hpc) AS hpc_len, unnest(range(0, {count})) AS pos, hpc FROM {source}),
+{name}e AS (SELECT read_id, hpc_len, pos, substr(hpc, pos + 1, {K}) AS km FROM {name}k WHERE substr(hpc, pos + 1, {K}) <> ''),
+{name}w AS (SELECT read_id, hpc_len, pos, min(struct_pack(km := km, pos := pos)) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {per - 1} FOLLOWING) AS m,
+  count(*) OVER (PARTITION BY read_id) AS n FROM {name}e),
+{name}d AS (SELECT DISTINCT read_id, hpc_len, m.km AS km, m.pos AS pos FROM {name}w WHERE pos = 0 OR pos <= n - {per}),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY read_id) AS n_min FROM {name}d)"""
+
+
+REP = "rep AS (SELECT min(read_id) AS cl_id FROM u GROUP BY source)"
+HITS = f"""{U}, {mins('u')}, {REP}, ri AS (SELECT DISTINCT cl_id, km FROM mm JOIN rep ON read_id = cl_id),
+h AS (SELECT read_id, cl_id, idx, pos, n_min, hpc_len FROM mm JOIN ri USING (km) WHERE read_id <> cl_id)"""
+
+
+def R(spark: SparkSession, d: str) -> DataFrame:
+    return reads.surrogate_reads(spark, d)
+
+
+def U_(spark: SparkSession, d: str) -> DataFrame:
+    return reads.usable(R(spark, d), K, Q)
+
+
+def M(spark: SparkSession, d: str) -> DataFrame:
+    return hits.exploded(U_(spark, d), K, W)
+
+
+def H(spark: SparkSession, d: str) -> DataFrame:
+    """Hits against one representative per source."""
+    m = M(spark, d)
+    rep = U_(spark, d).groupBy("source").agg(F.min("read_id").alias("cl_id"))
+    return hits.hits(m, m.join(rep.select("cl_id"), F.col("read_id") == F.col("cl_id")))
+
+
+def A(spark: SparkSession, d: str) -> DataFrame:
+    """read_id, cl_id (source), class_id (language), score (characters)."""
+    return T(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.col("source").alias("cl_id"), F.col("lang").alias("class_id"), F.col("n_chars").alias("score"))
+
+
+ASG = "WITH a AS (SELECT doc_id AS read_id, source AS cl_id, lang AS class_id, n_chars AS score FROM documents)"
+
+
+@query(f"{X} SELECT read_id, acc, seq, qual FROM r")
+def reads_base(spark, d):
+    return R(spark, d).select("read_id", "acc", "seq", "qual")
+
+
+@query(f"{X} SELECT read_id, {HPC} AS hpc FROM r")
+def hpc(spark, d):
+    return R(spark, d).select("read_id", S.hpc(F.col("seq")).alias("hpc"))
+
+
+@query(f"{U} SELECT read_id, round(error_rate, 8) AS error_rate FROM e")
+def phred_error(spark, d):
+    return R(spark, d).select("read_id", F.round(S.mean_error(F.col("qual")), 8).alias("error_rate"))
+
+
+@query(f"{U} SELECT read_id, round(error_rate, 8) AS error_rate FROM u")
+def length_quality_filter(spark, d):
+    return U_(spark, d).select("read_id", F.round("error_rate", 8).alias("error_rate"))
+
+
+@query(f"{SC} SELECT read_id, hpc, round(error_rate, 8) AS error_rate, round(score, 4) AS score FROM sc")
+def scored_reads(spark, d):
+    return reads.scored(R(spark, d), K, Q).select("read_id", "hpc", F.round("error_rate", 8).alias("error_rate"), F.round("score", 4).alias("score"))
+
+
+@query(f"{X} SELECT read_id, length(seq)::INT AS n FROM r WHERE length(seq) BETWEEN 1000 AND 3000")
+def length_window(spark, d):
+    return reads.length_window(R(spark, d), 2000, 1000).select("read_id", F.length("seq").alias("n"))
+
+
+@query(f"{SC} SELECT read_id, round(score, 4) AS score FROM sc ORDER BY sc.score DESC, read_id LIMIT 20")
+def top_reads(spark, d):
+    return reads.top(reads.scored(R(spark, d), K, Q), 20).select("read_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""{U} SELECT count(*) AS n, round(min(error_rate), 8) AS min_e, round(max(error_rate), 8) AS max_e,
+round(quantile_disc(error_rate, 0.5 ORDER BY error_rate DESC), 8) AS median_e, round(avg(error_rate), 8) AS mean_e FROM u""".replace("quantile_disc(error_rate, 0.5 ORDER BY error_rate DESC)", "list_sort(list(error_rate))[(count(*) // 2 + 1)::INT]"))
+def error_stats(spark, d):
+    e = reads.error_stats(U_(spark, d))
+    return e.select("n", *[F.round(c, 8).alias(c) for c in ("min_e", "max_e", "median_e", "mean_e")])
+
+
+@query(f"{U}, {mins('u')} SELECT read_id, idx::INT AS idx, km, pos::INT AS pos FROM mm")
+def minimizers(spark, d):
+    return M(spark, d).select("read_id", "idx", "km", "pos")
+
+
+@query(f"{U}, {mins('u', 'early')} SELECT read_id, km, pos::INT AS pos FROM mm")
+def minimizers_sim_variant(spark, d):
+    ms = S.minimizers(F.col("hpc"), K, W, stop_early=True)
+    return U_(spark, d).select("read_id", F.explode(ms).alias("m")).select("read_id", "m.km", "m.pos")
+
+
+@query(f"{U}, {mins('u')} SELECT km, count(*) AS n, count(DISTINCT read_id) AS n_reads FROM mm GROUP BY km")
+def minimizer_df(spark, d):
+    each = M(spark, d).groupBy("km", "read_id").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy("km").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_reads"))
+
+
+@query(f"{HITS} SELECT read_id, cl_id, count(*) AS n, sum(pos)::BIGINT AS sum_pos, min(idx)::INT AS first_idx, max(idx)::INT AS last_idx FROM h GROUP BY ALL")
+def shared_hits(spark, d):
+    return H(spark, d).groupBy("read_id", "cl_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
+@query(f"""{HITS}, c AS (SELECT read_id, cl_id, count(*) AS n, sum(pos)::BIGINT AS sum_pos FROM h GROUP BY ALL),
+k AS (SELECT *, max(n) OVER (PARTITION BY read_id) AS top, row_number() OVER (PARTITION BY read_id ORDER BY n DESC, sum_pos DESC, cl_id DESC)::INT AS rnk FROM c)
+SELECT read_id, cl_id, n, sum_pos, rnk, n = top AS tied FROM k WHERE top >= 5 AND n >= 0.8 * top AND n >= 5""")
+def candidate_rank(spark, d):
+    return hits.ranked(H(spark, d))
+
+
+MAPPED = f"""{HITS}, g AS (SELECT *, 1 - power(0.9::DOUBLE * 0.95::DOUBLE, 2) AS q, lag(idx, 1, -1) OVER o AS pi, lag(pos, 1, 0) OVER o AS pp, lead(idx) OVER o IS NULL AS last
+  FROM h WINDOW o AS (PARTITION BY read_id, cl_id ORDER BY idx)),
+mr AS (SELECT read_id, cl_id, round(sum(CASE WHEN power(q, idx - pi - 1) >= 0.1 THEN pos - pp ELSE 0 END + CASE WHEN last AND power(q, n_min - 1 - idx) >= 0.1 THEN hpc_len - pos ELSE 0 END)::DOUBLE
+  / first(hpc_len), 8) AS mapped_ratio FROM g GROUP BY ALL)"""
+
+
+def _mapped(spark, d):
+    share = F.pow(F.lit(0.9) * F.lit(0.95), F.lit(2))
+    return hits.mapped(H(spark, d), share).select("read_id", "cl_id", F.round("mapped_ratio", 8).alias("mapped_ratio"))
+
+
+@query(f"{MAPPED} SELECT * FROM mr")
+def mapped_ratio(spark, d):
+    return _mapped(spark, d)
+
+
+@query(f"{MAPPED} SELECT * FROM mr WHERE mapped_ratio > 0.05")
+def map_accept(spark, d):
+    return _mapped(spark, d).where("mapped_ratio > 0.05")
+
+
+GRID = "VALUES (13, 18, 1, 1, 0.8), (13, 20, 1, 2, 0.7), (13, 22, 2, 3, 0.6), (13, 25, 1, 3, 0.5), (15, 50, 1, 2, 0.4)"
+
+
+@query(f"""WITH g(k, w, e1, e2, p) AS ({GRID}), f AS (SELECT * FROM g WHERE k = 13 AND abs(w - 20) <= 2)
+SELECT k, w, e1, e2, p::DOUBLE AS p FROM f UNION SELECT k, w, e2, e1, p::DOUBLE FROM f""")
+def prob_grid(spark, d):
+    grid = spark.sql(f"SELECT k, w, e1, e2, CAST(p AS DOUBLE) AS p FROM {GRID} AS g(k, w, e1, e2, p) WHERE k = 13 AND abs(w - 20) <= 2")
+    return hits.symmetric(grid)
+
+
+@query(f"""{U}, b AS (SELECT read_id, greatest(1, least(15, round(error_rate * 100)::INT)) AS e_bin, length(hpc) AS n FROM u)
+SELECT read_id, e_bin, round(power((1 - e_bin / 100.0::DOUBLE) * (1 - 0.05::DOUBLE), {K}), 10) AS p FROM b""")
+def prob_lookup(spark, d):
+    rates = spark.range(1, 16).select(F.col("id").cast("int").alias("bin"), F.pow((1 - F.col("id") / 100.0) * (1 - F.lit(0.05)), F.lit(K)).alias("p"))
+    rows = U_(spark, d).select("read_id", S.error_bin(F.col("error_rate")).alias("e_bin"))
+    return rows.join(F.broadcast(rates), F.col("e_bin") == F.col("bin")).select("read_id", "e_bin", F.round("p", 10).alias("p"))
+
+
+@query(f"""{X}, c AS (SELECT read_id, unnest(string_split(seq, '')) AS b, unnest(string_split(qual, '')) AS c, unnest(range(length(seq))) AS i FROM r WHERE length(seq) > 0),
+n AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY read_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM c),
+g AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY i) AS run FROM n), m AS (SELECT read_id, run, max(c) AS c FROM g GROUP BY ALL),
+z AS (SELECT read_id, string_agg(c, '' ORDER BY run) AS hpc_qual, avg(least({P}, 0.79433)) AS e FROM m GROUP BY read_id)
+SELECT read_id, coalesce(hpc_qual, '') AS hpc_qual, round(e, 8) AS hpc_error_rate FROM r LEFT JOIN z USING (read_id)""")
+def hpc_quality(spark, d):
+    rows = R(spark, d).select("read_id", S.best_run_quality(F.col("seq"), F.col("qual")).alias("hpc_qual"))
+    return rows.select("read_id", "hpc_qual", F.round(S.mean_error(F.col("hpc_qual"), clamp=True), 8).alias("hpc_error_rate"))
+
+
+@query(f"""{U}, s AS (SELECT read_id, round(error_rate / 2, 8) AS e FROM u)
+SELECT read_id, CASE WHEN e <= 0.01 THEN 5 WHEN e <= 0.04 THEN 4 WHEN e <= 0.1 THEN 3 ELSE 2 END AS open, floor((1 - e) * {K})::BIGINT AS match_id FROM s""")
+def gap_open(spark, d):
+    e = F.col("e")
+    return U_(spark, d).select("read_id", F.round(F.col("error_rate") / 2, 8).alias("e")).select("read_id", S.gap_open(e).alias("open"), F.floor((1 - e) * K).alias("match_id"))
+
+
+@query(f"{X} SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM r")
+def revcomp(spark, d):
+    return R(spark, d).select("read_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"{X} SELECT read_id, (CASE WHEN 2 * 150 > length(seq) THEN length(seq) // 2 ELSE 150 END)::INT AS trim FROM r")
+def trim_window(spark, d):
+    n = F.length("seq")
+    return R(spark, d).select("read_id", F.when(n < 300, F.floor(n / 2)).otherwise(150).cast("int").alias("trim"))
+
+
+TAILS = (("tail1_fw", "TTTCTGTTGGTGCTGATATTGC"), ("tail2_fw", "ACTTGCCTGTCGCTCTATCTTC"))
+
+
+@query("SELECT name, seq FROM (VALUES " + ", ".join(f"('{n}', '{s}'), ('{n[:-2]}rc', reverse(translate('{s}', 'ACGT', 'TGCA')))" for n, s in TAILS) + ") t(name, seq)")
+def universal_tails(spark, d):
+    fw = spark.createDataFrame(TAILS, "name string, seq string")
+    rc = fw.select(F.regexp_replace("name", "fw$", "rc").alias("name"), S.reverse_complement(F.col("seq")).alias("seq"))
+    return fw.unionByName(rc)
+
+
+PRIMER = "ACGTACGT"
+
+
+@query(f"""{X}, w AS (SELECT read_id, seq, unnest(range(1, length(seq) - {len(PRIMER)} + 2)) AS i FROM r),
+m AS (SELECT read_id, i, levenshtein(substr(seq, i, {len(PRIMER)}), '{PRIMER}') AS ed FROM w)
+SELECT read_id, count(*) AS n_hits, min(ed)::INT AS ed, (min(i))::INT AS start, max(i + {len(PRIMER)})::INT AS cut_start FROM m WHERE ed <= 2 GROUP BY read_id""")
+def primer_hits(spark, d):
+    n = len(PRIMER)
+    rows = R(spark, d).where(F.length("seq") >= n).select("read_id", F.transform(F.sequence(F.lit(1), F.length("seq") - n + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("seq").cast("binary"), i, F.lit(n)).cast("string").alias("s"))).alias("x"))
+    found = rows.select("read_id", F.explode("x").alias("x")).select("read_id", "x.i", F.levenshtein("x.s", F.lit(PRIMER)).alias("ed")).where("ed <= 2")
+    return found.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("ed").alias("ed"), F.min("i").alias("start"), F.max(F.col("i") + n).alias("cut_start"))
+
+
+@query(f"{ASG} SELECT cl_id, count(*) AS size FROM a GROUP BY cl_id")
+def cluster_sizes(spark, d):
+    return evaluate.sizes(A(spark, d), "cl_id")
+
+
+@query(f"{ASG} SELECT cl_id, count(*) AS n_reads, max(score) AS score, row_number() OVER (ORDER BY count(*) DESC, max(score) DESC, cl_id) - 1 AS output_cl_id FROM a GROUP BY cl_id")
+def cluster_rank(spark, d):
+    return reads.ranked_clusters(A(spark, d))
+
+
+@query(f"""{ASG}, s AS (SELECT cl_id, count(*) AS n FROM a GROUP BY cl_id), c AS (SELECT floor(0.05 * sum(n))::BIGINT AS cut FROM s)
+SELECT count(*) FILTER (n >= cut) AS kept, count(*) FILTER (n < cut) AS dropped, coalesce(sum(n) FILTER (n < cut), 0)::BIGINT AS dropped_reads, count(*) FILTER (n = 1) AS singletons, max(n) AS most FROM s, c""")
+def abundance_having(spark, d):
+    s = evaluate.sizes(A(spark, d), "cl_id")
+    rows = s.join(F.broadcast(s.agg(F.floor(F.sum("size") * F.lit(0.05)).alias("cut"))))
+    few = F.col("size") < F.col("cut")
+    return rows.agg(
+        F.count_if(~few).alias("kept"), F.count_if(few).alias("dropped"), F.coalesce(F.sum(F.when(few, F.col("size"))), F.lit(0)).alias("dropped_reads"),
+        F.count_if(F.col("size") == 1).alias("singletons"), F.max("size").alias("most"),
+    )
+
+
+@query(f"{ASG}, o AS (SELECT *, row_number() OVER (PARTITION BY cl_id ORDER BY score DESC, read_id)::INT AS rnk FROM a) SELECT cl_id, read_id, rnk FROM o WHERE rnk <= 5")
+def member_order(spark, d):
+    order = Window.partitionBy("cl_id").orderBy(F.desc("score"), "read_id")
+    return A(spark, d).withColumn("rnk", F.row_number().over(order)).where("rnk <= 5").select("cl_id", "read_id", "rnk")
+
+
+@query(f"{ASG}, s AS (SELECT cl_id, count(*) AS n, row_number() OVER (ORDER BY cl_id) - 1 AS i, count(*) OVER () AS all_n FROM a GROUP BY cl_id) SELECT cl_id, i // (all_n // 4 + 1) AS batch FROM s")
+def batch_equal_count(spark, d):
+    s = evaluate.sizes(A(spark, d), "cl_id")
+    i = F.row_number().over(Window.orderBy("cl_id")) - 1
+    rows = s.select("cl_id", i.alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return rows.select("cl_id", F.expr("i div (n div 4 + 1)").alias("batch"))
+
+
+@query(f"""{ASG}, s AS (SELECT cl_id, sum(score)::BIGINT AS nt FROM a GROUP BY cl_id), t AS (SELECT *, sum(nt) OVER (ORDER BY nt DESC, cl_id) AS run, sum(nt) OVER () AS total FROM s)
+SELECT cl_id, ((run - nt) // (total // 4 + 1))::BIGINT AS batch, ((run - nt) // (total // 4 + 1) // 2)::BIGINT AS merged_batch FROM t""")
+def batch_running_total(spark, d):
+    s = A(spark, d).groupBy("cl_id").agg(F.sum("score").alias("nt"))
+    run = F.sum("nt").over(Window.orderBy(F.desc("nt"), "cl_id").rowsBetween(Window.unboundedPreceding, 0))
+    t = s.select("cl_id", "nt", run.alias("run"), F.sum("nt").over(Window.partitionBy()).alias("total"))
+    return t.select("cl_id", F.expr("(run - nt) div (total div 4 + 1)").alias("batch"), F.expr("(run - nt) div (total div 4 + 1) div 2").alias("merged_batch"))
+
+
+EV = "WITH v AS (SELECT CAST(event_id AS VARCHAR) AS read, user_id AS chrom, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + value::BIGINT * 1000 AS e FROM events)"
+
+
+@query(f"""{EV}, f AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY chrom ORDER BY s, e, read ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1
+  WHEN row_number() OVER (PARTITION BY chrom ORDER BY s, e, read) = 1 THEN 1 ELSE 0 END AS new FROM v)
+SELECT read, chrom, sum(new) OVER (PARTITION BY chrom ORDER BY s, e, read ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM f""".replace("value::BIGINT", "floor(value)::BIGINT"))
+def interval_classes(spark, d):
+    at = F.unix_timestamp("ts")
+    rows = T(spark, d, "events").select(F.col("event_id").cast("string").alias("read"), F.col("user_id").alias("chrom"), at.alias("start"), (at + F.floor("value") * 1000).alias("end"))
+    return evaluate.interval_classes(rows).select("read", "chrom", "island")
+
+
+TABLE = f"{ASG}, t AS (SELECT class_id, cl_id, count(*) AS n FROM a GROUP BY ALL)"
+
+
+def _table(spark, d):
+    a = A(spark, d)
+    return evaluate.contingency(a.select("read_id", "cl_id"), a.select("read_id", "class_id"))
+
+
+@query(f"{TABLE} SELECT * FROM t")
+def contingency(spark, d):
+    return _table(spark, d)
+
+
+@query(f"""{TABLE}, r AS (SELECT class_id, sum(n) AS a FROM t GROUP BY 1), c AS (SELECT cl_id, sum(n) AS b FROM t GROUP BY 1), s AS (SELECT sum(n)::DOUBLE AS t FROM t),
+hr AS (SELECT sum(-a / s.t * ln(a / s.t)) AS h, sum(a * (a - 1) / 2.0::DOUBLE) AS p FROM r, s), hc AS (SELECT sum(-b / s.t * ln(b / s.t)) AS h, sum(b * (b - 1) / 2.0::DOUBLE) AS p FROM c, s),
+j AS (SELECT sum(-n / s.t * ln(n::DOUBLE / b)) AS ck, sum(-n / s.t * ln(n::DOUBLE / a)) AS kc, sum(n * (n - 1) / 2.0::DOUBLE) AS p FROM t JOIN r USING (class_id) JOIN c USING (cl_id), s),
+o AS (SELECT 1 - ck / hr.h AS hom, 1 - kc / hc.h AS com, hr.p * hc.p / (s.t * (s.t - 1) / 2) AS ex, (hr.p + hc.p) / 2 AS mx, j.p AS p FROM hr, hc, j, s)
+SELECT round(hom, 8) AS homogeneity, round(com, 8) AS completeness, round(2 * hom * com / (hom + com), 8) AS v_measure, round((p - ex) / (mx - ex), 8) AS ari FROM o""")
+def v_measure(spark, d):
+    got = evaluate.agreement(_table(spark, d))
+    return got.select(*[F.round(c, 8).alias(c) for c in got.columns])
+
+
+@query("""WITH s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1), b AS (SELECT size, count(*) * size AS r FROM s GROUP BY 1),
+u AS (SELECT size, sum(r) OVER (ORDER BY size DESC) AS run, sum(r) OVER () AS total FROM b)
+SELECT count(*) AS n, min(size) AS min_size, max(size) AS max_size, round(avg(size), 8) AS mean_size, quantile_cont(size, 0.5)::DOUBLE AS median_size, quantile_cont(size, 0.75)::DOUBLE AS q3_size,
+round(sum(size * size)::DOUBLE / sum(size), 8) AS e_size, (SELECT max(size) FROM u WHERE run * 2 >= total) AS n50 FROM s""")
+def size_summary(spark, d):
+    got = evaluate.size_summary(evaluate.sizes(T(spark, d, "orders"), "o_custkey"))
+    return got.withColumns({"mean_size": F.round("mean_size", 8), "e_size": F.round("e_size", 8)})
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS omitted, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)) AS singletons")
+def singleton_omitted(spark, d):
+    orders = T(spark, d, "orders")
+    gone = T(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("omitted"))
+    return gone.join(evaluate.sizes(orders, "o_custkey").agg(F.count_if(F.col("size") == 1).alias("singletons")))
+
+
+@query(f"""{ASG} SELECT class_id, count(q.doc_id) AS clustered, count(*) - count(q.doc_id) AS unclustered FROM a LEFT JOIN (SELECT DISTINCT doc_id FROM labels) q ON read_id = q.doc_id GROUP BY 1""")
+def class_mix(spark, d):
+    q = T(spark, d, "labels").select("doc_id").distinct()
+    rows = A(spark, d).join(q, F.col("read_id") == F.col("doc_id"), "left")
+    return rows.groupBy("class_id").agg(F.count("doc_id").alias("clustered"), F.count_if(F.col("doc_id").isNull()).alias("unclustered"))
+
+
+@query(f"{ASG} SELECT read_id FROM a WHERE read_id NOT IN (SELECT doc_id FROM labels)")
+def unaligned_anti(spark, d):
+    return A(spark, d).join(T(spark, d, "labels"), F.col("read_id") == F.col("doc_id"), "left_anti").select("read_id")
+
+
+@query(f"{ASG} SELECT DISTINCT class_id FROM a JOIN labels ON read_id = doc_id WHERE quality = 0 INTERSECT SELECT class_id FROM a JOIN labels ON read_id = doc_id WHERE quality = 1")
+def class_intersection(spark, d):
+    rows = A(spark, d).join(T(spark, d, "labels"), F.col("read_id") == F.col("doc_id"))
+    return rows.where("quality = 0").select("class_id").intersect(rows.where("quality = 1").select("class_id"))
+
+
+@query(f"""{U}, {mins('u')}, s AS (SELECT km, pos FROM mm JOIN u USING (read_id) WHERE lang = 'fr'), f AS (SELECT read_id, km, pos FROM mm JOIN u USING (read_id) WHERE lang = 'de')
+SELECT read_id, km, pos::INT AS pos FROM f WHERE EXISTS (SELECT 1 FROM s WHERE s.km = f.km AND abs(s.pos - f.pos) < 500)""")
+def band_semi_join(spark, d):
+    m = M(spark, d).join(U_(spark, d).select("read_id", "lang"), "read_id")
+    return hits.shared_within(m.where("lang = 'de'").select("read_id", "km", "pos"), m.where("lang = 'fr'").select("km", "pos"))
+
+
+@query("""SELECT doc_id AS read_id, source || '_' || doc_id AS acc, regexp_replace(source || '_' || doc_id, '_[^_]*$', '') AS simulated,
+string_split(string_split(source || ' x', ' ')[1] || '_runid=1', '_runid')[1] AS ont, string_split(source || '_strand=+', '_strand')[1] AS plain FROM documents""")
+def accession_modes(spark, d):
+    acc = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"))
+    return T(spark, d, "documents").select(
+        F.col("doc_id").alias("read_id"), acc.alias("acc"), F.regexp_replace(acc, "_[^_]*$", "").alias("simulated"),
+        F.substring_index(F.concat(F.substring_index(F.concat("source", F.lit(" x")), " ", 1), F.lit("_runid=1")), "_runid", 1).alias("ont"),
+        F.substring_index(F.concat("source", F.lit("_strand=+")), "_strand", 1).alias("plain"),
+    )
+
+
+@query("SELECT user_id AS chrom, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
+def alignments_per_reference(spark, d):
+    """Flag bits from the event id: every fourth alignment is unmapped."""
+    rows = T(spark, d, "events").withColumn("flag", F.when(F.col("event_id") % 4 == 0, 4).otherwise(0))
+    return rows.where(F.col("flag").bitwiseAND(4 | 256 | 2048) == 0).groupBy(F.col("user_id").alias("chrom")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _short(spark, d) -> DataFrame:
+    """Reads from whole benchmark passages: short enough to align all of them."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    rows = T(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), letters.alias("x"), F.pmod("item_id", F.lit(8)).alias("sample"))
+    rows = rows.select("read_id", F.translate("x", reads.LETTERS, reads.BASES).alias("seq"), F.translate("x", reads.LETTERS, reads.QUALS).alias("qual"), "sample")
+    return reads.scored(rows, K, 7.0)
+
+
+@query(None)
+def leader_clusters(spark, d):
+    scored = reads.scored(R(spark, d), K, Q)
+    return leader.clustered(scored, leader.Params(align=False), "source").select(F.col("sample"), "read_id", "cl_id")
+
+
+@query(None)
+def leader_clusters_aligned(spark, d):
+    return leader.clustered(_short(spark, d)).select("sample", "read_id", "cl_id")
+
+
+@query(None)
+def consensus_centers(spark, d):
+    s = _short(spark, d)
+    return leader.centers(leader.clustered(s), s)
+
+
+@query(None)
+def center_merge(spark, d):
+    s = _short(spark, d)
+    return leader.merged(leader.centers(leader.clustered(s), s), primers=tuple(x for _, x in TAILS)).select("sample", "cl_id", "n_reads", "seq", F.size("members").alias("n_members"))
+
+
+@query(None)
+def random_sample(spark, d):
+    return reads.sample(R(spark, d), 100, seed=5).select("read_id")
+
+
+@query(None)
+def shared_probability(spark, d):
+    """Simulated probabilities on a small grid of error rates."""
+    grid = spark.range(1, 6).select(F.lit(K).alias("k"), F.lit(W).alias("w"), F.col("id").alias("e1"), F.explode(F.sequence(F.col("id"), F.lit(5))).alias("e2")).repartition(15, "e1", "e2")
+
+    def simulate(batches):
+        for b in batches:
+            got = [(r.k, r.w, r.e1, r.e2, *kernels.simulated_share(r.k, r.w, r.e1, r.e2)) for r in b.itertuples()]
+            yield pd.DataFrame(got, columns=["k", "w", "e1", "e2", "p", "least", "most"])
+
+    return grid.mapInPandas(simulate, "k int, w int, e1 long, e2 long, p double, least double, most double")
