@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ CLAMP = 0.79433
 IUPAC = ("ACGTURYSWKMBDHVNXacgturyswkmbdhvnx", "TGCAAYRSWMKVHDBNXtgcaayrswmkvhdbnx")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, also where ``f`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def hpc(seq: Column) -> Column:
     """Homopolymer compression: every run becomes one base."""
     return F.regexp_replace(seq, r"(.)\1+", "$1")
@@ -44,20 +51,23 @@ def read_score(qual: Column, k: int) -> Column:
     def product(q: Column, i: Column) -> Column:
         return F.aggregate(F.slice(q, i, F.lit(k)), F.lit(1.0), lambda a, x: a * x)
 
-    bound = F.transform(F.array(right), lambda q: total(F.transform(F.sequence(F.lit(1), windows), lambda i: product(q, i))))
-    return F.when(windows > 0, F.element_at(bound, 1)).otherwise(0.0)
+    score = bound(right, lambda q: total(F.transform(F.sequence(F.lit(1), F.size(q) - k + 1), lambda i: product(q, i))))
+    return F.when(windows > 0, score).otherwise(0.0)
 
 
 def best_run_quality(seq: Column, qual: Column) -> Column:
     """Quality string of the compressed read: the best character of every run."""
     runs = F.regexp_extract_all(seq, F.lit(r"((.)\2*)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").cast("binary").alias("out"))
 
-    def step(acc: Column, run: Column) -> Column:
-        best = F.array_max(F.split(F.substring(qual, acc["at"] + 1, F.length(run)), ""))
-        return F.struct((acc["at"] + F.length(run)).alias("at"), F.concat(acc["out"], best).alias("out"))
+    def folded(raw: Column) -> Column:
+        def step(acc: Column, run: Column) -> Column:
+            best = F.array_max(F.split(F.substring(raw, acc["at"] + 1, F.length(run)).cast("string"), ""))
+            return F.struct((acc["at"] + F.length(run)).alias("at"), F.concat(acc["out"], best.cast("binary")).alias("out"))
 
-    return F.aggregate(runs, start, step, lambda acc: acc["out"])
+        return F.aggregate(runs, start, step, lambda acc: acc["out"].cast("string"))
+
+    return bound(qual.cast("binary"), folded)
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -71,17 +81,21 @@ def minimizers(h: Column, k: int, w: int, stop_early: bool = False) -> Column:
     longer reads is not seen.  Works inside the row: no shuffle however long the read.
     """
     per = w - k + 1
-    raw = h.cast("binary")  # bytes: a slice doesn't scan the string from its start
-    n = F.length(h)
-    count = F.greatest(n - k + 1 - (F.when(n > w, 1).otherwise(0) if stop_early else F.lit(0)), F.lit(1 if stop_early else per))
-    kmers = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.substring(raw, i, F.lit(k)).alias("km"), (i - 1).alias("pos")))
-    kmers = F.filter(kmers, lambda x: F.length(x["km"]) > 0)
 
-    def choose(all_: Column) -> Column:
+    def kmers(raw: Column) -> Column:  # bytes: a slice doesn't scan the string from its start
+        n = F.length(raw)
+        count = F.greatest(n - k + 1 - (F.when(n > w, 1).otherwise(0) if stop_early else F.lit(0)), F.lit(1 if stop_early else per))
+        all_ = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.substring(raw, i, F.lit(k)).alias("km"), (i - 1).alias("pos")))
+        return F.filter(all_, lambda x: F.length(x["km"]) > 0)
+
+    def smallest(all_: Column) -> Column:
         windows = F.sequence(F.lit(1), F.greatest(F.size(all_) - per + 1, F.lit(1)))
-        return F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(all_, i, F.lit(per)))))
+        return F.transform(windows, lambda i: F.array_min(F.slice(all_, i, F.lit(per))))
+
+    def moves(found: Column) -> Column:  # positions never go back: a repeat follows at once
+        return F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["pos"] != x["pos"]))
 
-    chosen = F.element_at(F.transform(F.array(kmers), choose), 1)
+    chosen = bound(bound(bound(h.cast("binary"), kmers), smallest), moves)
     return F.transform(chosen, lambda x: F.struct(x["km"].cast("string").alias("km"), x["pos"].alias("pos")))
 
 

@@ -46,8 +46,9 @@ HPC = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A
 P = "power(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE)"
 U = f"""{X}, e AS (SELECT *, {HPC} AS hpc, CASE WHEN length(qual) > 0 THEN list_sum(list_transform(string_split(qual, ''), lambda c: {P})) / length(qual) END AS error_rate FROM r),
 u AS (SELECT * FROM e WHERE length(seq) >= {2 * K} AND length(hpc) >= {K} AND -10 * log10(error_rate) > {Q})"""
-SC = f"""{U}, ok AS (SELECT *, list_transform(string_split(qual, ''), lambda c: 1 - least({P}, 0.79433)) AS ok FROM u),
-sc AS (SELECT *, list_sum(list_transform(range(1, length(qual) - {K} + 2), lambda i: list_product(ok[i:i + {K} - 1]))) AS score FROM ok)"""
+SC = f"""{U}, ok AS (SELECT read_id, ln(1 - least({P}, 0.79433)) AS l, i FROM (SELECT read_id, unnest(string_split(qual, '')) AS c, unnest(range(length(qual))) AS i FROM u)),
+kw AS (SELECT read_id, i, sum(l) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW) AS l FROM ok),
+sc AS (SELECT u.*, score FROM u JOIN (SELECT read_id, sum(exp(l)) AS score FROM kw WHERE i >= {K - 1} GROUP BY read_id) USING (read_id))"""
 
 
 def mins(source: str, stop: str = "", name: str = "mm") -> str:
@@ -56,9 +57,9 @@ def mins(source: str, stop: str = "", name: str = "mm") -> str:
     count = f"greatest(length(hpc) - {K} + 1, {per})" if not stop else f"greatest(length(hpc) - {K} + 1 - CASE WHEN length(hpc) > {W} THEN 1 ELSE 0 END, 1)"
     return f"""{name}k AS (SELECT read_id, length(hpc) AS hpc_len, unnest(range(0, {count})) AS pos, hpc FROM {source}),
 {name}e AS (SELECT read_id, hpc_len, pos, substr(hpc, pos + 1, {K}) AS km FROM {name}k WHERE substr(hpc, pos + 1, {K}) <> ''),
-{name}w AS (SELECT read_id, hpc_len, pos, min(struct_pack(km := km, pos := pos)) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {per - 1} FOLLOWING) AS m,
+{name}w AS (SELECT read_id, hpc_len, pos, min(rpad(km, {K}, ' ') || lpad(pos::VARCHAR, 9, '0')) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {per - 1} FOLLOWING) AS m,
   count(*) OVER (PARTITION BY read_id) AS n FROM {name}e),
-{name}d AS (SELECT DISTINCT read_id, hpc_len, m.km AS km, m.pos AS pos FROM {name}w WHERE pos = 0 OR pos <= n - {per}),
+{name}d AS (SELECT DISTINCT read_id, hpc_len, rtrim(left(m, {K})) AS km, right(m, 9)::INT AS pos FROM {name}w WHERE pos = 0 OR pos <= n - {per}),
 {name} AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY read_id) AS n_min FROM {name}d)"""
 
 
@@ -124,7 +125,7 @@ def length_window(spark, d):
     return reads.length_window(R(spark, d), 2000, 1000).select("read_id", F.length("seq").alias("n"))
 
 
-@query(f"{SC} SELECT read_id, round(score, 4) AS score FROM sc ORDER BY sc.score DESC, read_id LIMIT 20")
+@query(f"{SC} SELECT read_id, round(score, 4) AS score FROM sc ORDER BY round(sc.score, 6) DESC, read_id LIMIT 20")
 def top_reads(spark, d):
     return reads.top(reads.scored(R(spark, d), K, Q), 20).select("read_id", F.round("score", 4).alias("score"))
 
@@ -250,7 +251,8 @@ m AS (SELECT read_id, i, levenshtein(substr(seq, i, {len(PRIMER)}), '{PRIMER}')
 SELECT read_id, count(*) AS n_hits, min(ed)::INT AS ed, (min(i))::INT AS start, max(i + {len(PRIMER)})::INT AS cut_start FROM m WHERE ed <= 2 GROUP BY read_id""")
 def primer_hits(spark, d):
     n = len(PRIMER)
-    rows = R(spark, d).where(F.length("seq") >= n).select("read_id", F.transform(F.sequence(F.lit(1), F.length("seq") - n + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("seq").cast("binary"), i, F.lit(n)).cast("string").alias("s"))).alias("x"))
+    infixes = lambda raw: F.transform(F.sequence(F.lit(1), F.length(raw) - n + 1), lambda i: F.struct(i.alias("i"), F.substring(raw, i, F.lit(n)).cast("string").alias("s")))
+    rows = R(spark, d).where(F.length("seq") >= n).select("read_id", S.bound(F.col("seq").cast("binary"), infixes).alias("x"))
     found = rows.select("read_id", F.explode("x").alias("x")).select("read_id", "x.i", F.levenshtein("x.s", F.lit(PRIMER)).alias("ed")).where("ed <= 2")
     return found.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("ed").alias("ed"), F.min("i").alias("start"), F.max(F.col("i") + n).alias("cut_start"))
 
