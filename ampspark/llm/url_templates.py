@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ampspark.llm.common import stored
+
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 DEPTH = 4
 MAX_CHILDREN = 20
@@ -77,7 +79,8 @@ def _generalised(rows: DataFrame) -> DataFrame:
         keep = child.join(wide.select(*node, "all_rows"), node).where(F.col("rows") * MIN_SHARE >= F.col("all_rows")).select(*node, f"t{i}", F.lit(True).alias("kept"))
         t = t.join(wide.select(*node, F.lit(True).alias("is_wide")), node, "left").join(keep, [*node, f"t{i}"], "left")
         plain = F.col("is_wide").isNull() | F.col("kept").isNotNull() | F.col(f"t{i}").isin("", "**")
-        t = t.withColumn(f"t{i}", F.when(plain, F.col(f"t{i}")).otherwise("*")).drop("is_wide", "kept")
+        # Stored: the next level reads it three times.
+        t = stored(t.withColumn(f"t{i}", F.when(plain, F.col(f"t{i}")).otherwise("*")).drop("is_wide", "kept"), "templates")
     return t
 
 
@@ -87,7 +90,7 @@ def rejected_templates(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("host", *SEGMENTS).agg(
         F.count(F.lit(1)).alias("n"), F.sum((fit == "block").cast("long")).alias("bad"), F.count(fit).alias("seen")
     ).fillna(0, ["bad"])
-    t = _generalised(counts)
+    t = _generalised(stored(counts, "templates"))
     names = [f"t{i}" for i in range(1, DEPTH + 1)]
     depth = sum(F.when(F.col(x) != "", 1).otherwise(0) for x in names)
     branch = t.groupBy("host", *names).agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen")).withColumn("depth", depth)
