@@ -7,7 +7,7 @@ runner-up's share of the phrases of the best two, 0.5 to 1 (1 if one language on
 learned; 0 for ``und``).  ``und``: the text is null or has no letter, or nothing was learned.
 
 Letters are lower-cased, every run of other characters is one space.  Long texts are
-parsed whole, in stretches of ``STRETCH`` symbols side by side (a phrase ends at a
+parsed whole (a symbol that the language lacks counts with the phrase after it), in stretches of ``STRETCH`` symbols side by side (a phrase ends at a
 stretch's end).  Rows that repeat an id each get the same prediction; an empty table
 gives no rows; other columns are neither read nor returned.
 
