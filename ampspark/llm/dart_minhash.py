@@ -11,14 +11,18 @@ space; a shorter text is one shingle).  Similar means a weighted Jaccard similar
   the earliest dart per coordinate is the signature.  A document throws darts up to a rank
   that its weight chooses (about K ln K + 2 K of them in all), and on if a coordinate is empty.
 * Copies.  Documents with equal shingle sequences are one node from here on.
-* Banded joining.  A band's key is the hash of its ROWS coordinates.  Round one links the
-  members of a bucket to its first member; round two compares, in buckets whose members
-  are not yet one class, members of different classes only.  Every candidate pair is
-  verified exactly on the whole texts.  Members of one class need no further pairs, so a
-  group of n copies costs about n comparisons, not n squared.
+* Banded joining.  A band's key is the hash of its ROWS coordinates.  Star rounds compare
+  the members of a bucket with one member, another one each round (those first that meet most
+  others in buckets); members of its class
+  need no comparison.  The last round joins, in buckets whose members are not yet one
+  class, members of different classes, at the first band they share, and if their
+  signatures differ in at most ``APART`` coordinates (kept as seven bits each, seven to a
+  long).  Every candidate pair is verified exactly on the whole texts.  A group of n
+  copies costs about n comparisons, not n squared.
 * Components by minimum label propagation with pointer jumping over stored tables.
 
-A pair at similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4.
+A pair at similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4,
+and differs in more than ``APART`` of the K coordinates (SLACK standard deviations) with probability below 3e-4.
 Nulls count as empty; a document without words is a class of its own.  Rows that repeat
 an id belong to one class.  Rows with a null id are classes of their own.  An empty table
 gives no rows; other columns are neither read nor returned.
@@ -27,12 +31,13 @@ gives no rows; other columns are neither read nor returned.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampspark.llm.common import stored, text_or_empty
@@ -41,7 +46,10 @@ WORDS = 5
 THRESHOLD = 0.8
 ROWS = 6
 BANDS = 32
-K = ROWS * BANDS
+K = 2 * ROWS * BANDS
+STARS = 2
+SLACK = 3.5
+LANES = -(-K // 7)
 MEMO = 300_000
 U = np.uint64
 
@@ -122,17 +130,35 @@ def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """(documents, bands) of int64."""
-    bands = signature.shape[1] // rows
-    s = signature.reshape(len(signature), bands, rows).astype(np.uint64)
+    """(documents, BANDS) of int64, from the first coordinates."""
+    bands = min(BANDS, signature.shape[1] // rows)
+    s = signature[:, : bands * rows].reshape(len(signature), bands, rows).astype(np.uint64)
     h = np.tile(np.arange(bands, dtype=np.uint64), (len(signature), 1))
     for i in range(rows):
         h = mix(h + s[:, :, i] + U(0x9E3779B97F4A7C15))
     return h.view(np.int64)
 
 
+def apart(threshold: float = THRESHOLD, k: int = K) -> int:
+    """APART: so many coordinates may differ at the threshold."""
+    return math.ceil(k * (1 - threshold) + SLACK * math.sqrt(k * threshold * (1 - threshold)))
+
+
+def lanes_of(signature: np.ndarray) -> np.ndarray:
+    """(documents, lanes) of int64: seven bits of each coordinate, seven coordinates to a long."""
+    bits = np.zeros((len(signature), LANES * 7), np.uint64)
+    bits[:, : signature.shape[1]] = signature & np.uint32(0x7F)
+    return (bits.reshape(len(signature), LANES, 7) << (U(8) * np.arange(7, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def n_apart(a: list[Column], b: list[Column]) -> Column:
+    """Number of coordinates in which two signatures differ, from their lanes."""
+    ones, tops = F.lit(0x7F7F7F7F7F7F7F).cast("long"), F.lit(0x80808080808080).cast("long")
+    return sum((F.bit_count((x.bitwiseXOR(y) + ones).bitwiseAND(tops)) for x, y in zip(a, b)), F.lit(0))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, same (hash of the shingle sequence), keys (one per band); documents with words and an id only."""
+    """doc_id, same (hash of the shingle sequence), keys (one per band), lanes; documents with words and an id only."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
@@ -143,12 +169,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if not full:
                     continue
-                keys = band_keys(signatures([sets[i] for i in full]))
+                signed = signatures([sets[i] for i in full])
                 same = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest() for i in full]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[full], "same": same, "keys": list(keys)})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[full], "same": same, "keys": list(band_keys(signed)), "lanes": list(lanes_of(signed))})
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(sketch, "doc_id long, same string, keys array<long>")
+    return rows.mapInPandas(sketch, "doc_id long, same string, keys array<long>, lanes array<long>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -200,6 +226,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(rest: DataFrame, signed: DataFrame, most: int) -> DataFrame:
+    """(a, b), a < b: pairs of different classes in one bucket whose signatures are close, each once."""
+    lanes = [f"l{i}" for i in range(LANES)]
+    full = stored(rest.join(signed, "b").select("band", "key", "b", "class", "keys", *[F.get("lanes", F.lit(i)).alias(n) for i, n in enumerate(lanes)]), "open")
+    left = full.select("band", "key", F.col("b").alias("a"), F.col("class").alias("class_a"), F.col("keys").alias("keys_a"), *[F.col(n).alias(f"a_{n}") for n in lanes])
+    near = n_apart([F.col(f"a_{n}") for n in lanes], [F.col(n) for n in lanes]) <= most
+    first = F.array_position(F.zip_with("keys_a", "keys", lambda x, y: x == y), True) == left["band"] + 1
+    same = (left["band"] == full["band"]) & (left["key"] == full["key"])
+    return left.join(full, same & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class")) & near & first).select("a", "b")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, group (smallest id with the same shingles), kept.
 
@@ -209,24 +246,33 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = sketches.groupBy("same").agg(F.min("doc_id").alias("group"))
     # An id that repeats with different texts joins their groups.
     member = sketches.select("doc_id", "same").join(same, "same").select("doc_id", "group").distinct()
-    nodes = sketches.join(same, (sketches["same"] == same["same"]) & (F.col("doc_id") == F.col("group"))).select("doc_id", F.posexplode("keys").alias("band", "key"))
-    buckets = nodes.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("band", "key", "a")
-    placed = stored(nodes.join(buckets, ["band", "key"]).select("band", "key", "a", F.col("doc_id").alias("b")).distinct(), "placed")
-    ids = placed.select(F.col("b").alias("doc_id")).distinct()
+    signed = sketches.join(same, (sketches["same"] == same["same"]) & (F.col("doc_id") == F.col("group"))).select(F.col("doc_id").alias("b"), "keys", "lanes").dropDuplicates(["b"])
+    nodes = signed.select("b", F.posexplode("keys").alias("band", "key"))
+    buckets = nodes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stored(nodes.join(buckets, ["band", "key"]).select("band", "key", "b", "n"), "placed")
+    # Texts that many others meet are the likeliest to be near all of their bucket: they are its first centers.
+    placed = stored(met.join(met.groupBy("b").agg(F.sum("n").alias("met")), "b").select("band", "key", "b", "met"), "placed")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = placed.select(F.col("b").alias("doc_id")).distinct()
     texts = stored(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    first = stored(verified(placed.where("a < b").select("a", "b").distinct(), texts, threshold), "links")
-    own = components(first.unionByName(member.where("doc_id <> group").select(F.col("group").alias("a"), F.col("doc_id").alias("b"))))
-    # Round two: buckets that hold several classes.
-    of = own.select(F.col("node").alias("b"), F.col("class_id").alias("class"))
-    classed = placed.select("band", "key", "b").join(of, "b", "left").select("band", "key", "b", F.coalesce("class", "b").alias("class"))
-    open_ = classed.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("band", "key")
-    rest = stored(classed.join(open_, ["band", "key"]), "open")
-    other = rest.select("band", "key", F.col("b").alias("a"), F.col("class").alias("class_a"))
-    pairs = other.join(rest, ["band", "key"]).where((F.col("class_a") != F.col("class")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    done = placed.where("a < b").select("a", "b").distinct()
-    second = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), texts, threshold), "links")
-    classes = components(own.select(F.col("class_id").alias("a"), F.col("node").alias("b")).unionByName(second)) if second.limit(1).count() else own
+    classes = components(member.where("doc_id <> group").select(F.col("group").alias("a"), F.col("doc_id").alias("b")))
+    done = None
+    for turn in range(STARS + 1):
+        of = classes.select(F.col("node").alias("b"), F.col("class_id").alias("class"))
+        classed = placed.join(of, "b", "left").select("band", "key", "b", "met", F.coalesce("class", "b").alias("class"))
+        other = F.col("met") * (4 - F.pmod(F.xxhash64("b", F.lit(turn)), F.lit(4)) * min(turn, 1))
+        center = F.max(F.struct(other.alias("order"), (-F.col("b")).alias("id"), F.col("b").alias("a"), F.col("class").alias("class_a"))).alias("center")
+        open_ = classed.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), center).where("x < y")
+        if turn < STARS:
+            star = classed.join(open_.select("band", "key", "center.a", "center.class_a"), ["band", "key"]).where("class <> class_a")
+            pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            pairs = _across(classed.join(open_.select("band", "key"), ["band", "key"]), signed, apart(threshold))
+        new = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        links = stored(verified(new, texts, threshold), "links")
+        done = new if done is None else done.unionByName(new)
+        if links.limit(1).count():
+            classes = components(classes.select(F.col("class_id").alias("a"), F.col("node").alias("b")).unionByName(links))
     classes = classes.groupBy("node").agg(F.min("class_id").alias("class_id"))
     groups = member.groupBy("doc_id").agg(F.min("group").alias("group"))
     joined = rows.select("doc_id").join(classes, F.col("doc_id") == F.col("node"), "left").join(groups, "doc_id", "left")
