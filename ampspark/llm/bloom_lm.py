@@ -1,20 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are the words between white space with A-Z lower-cased, then one end per text.
-The filter stores, for every unigram and for every bigram (of common words, seen
+The filter stores, for every unigram and for every bigram of any two words (seen
 twice or more) the pairs (n-gram, 1) .. (n-gram, q), where q is its count on a
 logarithmic scale; a count is read back by probing 1, 2, ... until a probe fails.
 
-    p(w | v) = max(c(v w) - D, 0) / c(v) + b(v) * p(w)   if v is common, else p(w)
-    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),           all c but c(v) from the filter
+    p(w | v) = max(c(v w) - D, 0) / c(v) + b(v) * p(w)   if v was seen, else p(w)
+    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-with b(v) the share of v's count that its stored bigrams leave.  ``score`` is the sum of
-log10 p over the text's tokens.  ``base_score`` uses the exact unigram counts.
+with b(v) = (R(v) + D * T(v)) / c(v), where T(v) is the number of v's stored bigrams and
+R(v) the count of v that they leave; T and R are items of the filter too.  All come from
+the filter, but c(v), T(v) and R(v) of the COMMON commonest words, which are broadcast
+exactly.  ``score`` is the sum of log10 p over the text's tokens.  ``base_score`` uses the
+exact unigram counts.
 
-Bounds.  The filter takes BITS bits an item, at most MAX_FILTER_MB in all (beyond that its
-false-positive rate rises, nothing is left out); it and the COMMON commonest words are
-broadcast.  All counts of the corpus stay distributed: the words beyond the common ones
-meet their exact counts in a join on the word's hash, pre-aggregated by document.
+Bounds.  The filter takes BITS bits an item.  Up to MAX_FILTER_MB it is broadcast; a
+larger one stays distributed in its chunks, which the distinct keys of every block of
+documents meet in a join.  All counts of the corpus stay distributed: the words beyond
+the common ones meet their exact counts in a join on the word's hash.
 
 A null text is empty: one token.  Rows that repeat an id are documents of their own,
 in training as well.  Without training documents every count is 0 and V and N are 0.
@@ -43,6 +46,7 @@ MAX_FILTER_MB = 256
 DISCOUNT = 0.6
 MEMO = 300_000
 FLUSH = 400_000
+BLOCK = 256
 END = b"\n"  # no word can be this
 U = np.uint64
 
@@ -111,13 +115,42 @@ def counted(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInPandas(_counter(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _pair_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: text -> (a, b, n) of its bigrams, summed as in ``_counter``; the end precedes the first word."""
+    memo = Hashes()
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
+
+    def summed() -> tuple[np.ndarray, ...]:
+        a, b, n = map(np.concatenate, zip(*parts))
+        _, first, inverse = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
+        return a[first], b[first], np.bincount(inverse, n).astype(np.int64)
+
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            texts = [hashes_of(t, memo) for t in batch["text"].iloc[at : at + 256]]
+            if not texts:
+                continue
+            a, b = np.concatenate([np.roll(h, 1) for h in texts]), np.concatenate(texts)
+            _, first, n = np.unique(pair_key(a, b), return_index=True, return_counts=True)
+            parts.append((a[first], b[first], n))
+            held += len(first)
+            if held > 2 * FLUSH:
+                parts = [summed()]
+                held = len(parts[0][0])
+                if held > FLUSH:
+                    yield pd.DataFrame(dict(zip("abn", parts[0])))
+                    parts, held = [], 0
+    if parts:
+        yield pd.DataFrame(dict(zip("abn", summed())))
+
+
 class Common:
-    """The commonest words, by hash: ids in order of hash, with exact counts."""
+    """The commonest words, by hash: ids in order of hash, with exact counts, T and R."""
 
-    def __init__(self, rows: list[tuple[int, int]]) -> None:
-        rows = sorted(rows)
-        self.keys = np.array([k for k, _ in rows], np.int64)
-        self.counts = np.array([n for _, n in rows], np.int64)
+    def __init__(self, rows: list[tuple[int, int, int, int]]) -> None:
+        columns = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+        self.keys, self.counts, self.followers, self.rest = map(np.ascontiguousarray, columns)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each hash, -1 for words that are not common."""
@@ -139,46 +172,69 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
-def _bits(key: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+def _steps(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(key.astype(np.uint64) + U(level * 0x9E3779B97F4A7C15 % 2**64))
+    return h, (h >> U(32)) | U(1)
+
+
+def _bits(key: np.ndarray, level: int) -> list[np.ndarray]:
     """PROBES positions inside a chunk for each (key, level)."""
-    h = mix(key.astype(np.uint64) + level.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    step = (h >> U(32)) | U(1)
-    return [((h + U(i) * step) % U(CHUNK_BITS)).astype(np.int64) for i in range(PROBES)]
+    h, step = _steps(key, level)
+    return [((h + U(i) * step) & U(CHUNK_BITS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
 def _chunk(key: np.ndarray, chunks: int) -> np.ndarray:
     return (mix(key.astype(np.uint64) ^ U(0xA0761D6478BD642F)) % U(chunks)).astype(np.int64)
 
 
+def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Levels read from the bytes of a filter; ``base`` is the first bit of each key's chunk."""
+    level = np.zeros(len(key), np.int64)
+    live = np.arange(len(key))
+    n = 0
+    while len(live):
+        n += 1
+        h, step = _steps(key[live], n)
+        for i in range(PROBES):
+            at = base[live] + ((h + U(i) * step) & U(CHUNK_BITS - 1)).astype(np.int64)
+            hit = (filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            live, h, step = live[hit], h[hit], step[hit]
+        level[live] = n
+    return level
+
+
 class Filter:
-    """All chunks in a row; ``count`` reads counts back by repeated probes."""
+    """All chunks in a row; ``level`` reads counts back by repeated probes."""
 
-    def __init__(self, chunks: int, filled: dict[int, bytes]) -> None:
+    def __init__(self, chunks: int, filled: Iterator[tuple[int, bytes]]) -> None:
         self.chunks = chunks
         self.bytes = np.zeros(chunks * CHUNK_BITS // 8, np.uint8)
         size = CHUNK_BITS // 8
-        for c, b in filled.items():
+        for c, b in filled:
             self.bytes[c * size : (c + 1) * size] = np.frombuffer(b, np.uint8)
 
     def level(self, key: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(key), np.int64)
-        live, base = np.arange(len(key)), _chunk(key, self.chunks) * CHUNK_BITS
-        step = 0
-        while len(live):
-            step += 1
-            hit = np.ones(len(live), bool)
-            for at in _bits(key[live], np.full(len(live), step)):
-                at = base[live] + at
-                hit &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
-            level[live] = step
-        return level
+        return _levels(self.bytes, key, _chunk(key, self.chunks) * CHUNK_BITS)
 
 
-def built_filter(items: DataFrame) -> Filter:
-    """From (key, n): items are dealt to chunks of fixed size by hash, each chunk is built by one small group."""
+class Found:
+    """Levels that a join has read already: sorted keys, 0 for all others."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.levels = keys[order], levels[order].astype(np.int64)
+
+    def level(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.levels[at], 0)
+
+
+def filter_chunks(items: DataFrame) -> tuple[int, DataFrame]:
+    """From (key, n): the number of chunks and (chunk, bits); items are dealt to chunks of fixed size by hash, each chunk is built by one small group."""
     total = items.select(F.sum(F.floor(F.log(BASE, "n") + 1e-9) + 1).alias("x")).first()["x"] or 0
-    chunks = int(max(1, min(MAX_FILTER_MB * 8 * 2**20, total * BITS) // CHUNK_BITS + 1))
+    chunks = int(total * BITS // CHUNK_BITS + 1)
 
     @F.pandas_udf("int")
     def chunk(key: pd.Series) -> pd.Series:
@@ -189,46 +245,111 @@ def built_filter(items: DataFrame) -> Filter:
         key, level = rows["key"].to_numpy(), level_of(rows["n"].to_numpy())
         step = 1
         while len(key):
-            for at in _bits(key, np.full(len(key), step)):
+            for at in _bits(key, step):
                 bits[at] = True
             more = level > step
             key, level, step = key[more], level[more], step + 1
         return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    made = items.withColumn("chunk", chunk("key")).groupBy("chunk").applyInPandas(fill, "chunk int, bits binary")
-    # At most MAX_FILTER_MB reach the driver.
-    return Filter(chunks, {r["chunk"]: bytes(r["bits"]) for r in made.toLocalIterator()})
+    return chunks, items.withColumn("chunk", chunk("key")).groupBy("chunk").applyInPandas(fill, "chunk int, bits binary")
+
+
+def gathered(chunks: int, made: DataFrame) -> Filter:
+    return Filter(chunks, ((r["chunk"], bytes(r["bits"])) for r in made.toLocalIterator()))
+
+
+def built_filter(items: DataFrame) -> Filter:
+    return gathered(*filter_chunks(items))
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Filter key of a bigram of word ids; apart from word hashes."""
-    return mix(first.astype(np.uint64) * U(COMMON) + second.astype(np.uint64) + U(0x5851F42D4C957F2D)).view(np.int64)
+    """Filter key of a bigram of word hashes; apart from the words' own."""
+    return mix(mix(first.astype(np.uint64) + U(0x5851F42D4C957F2D)) + second.astype(np.uint64)).view(np.int64)
+
+
+def followers_key(word: np.ndarray) -> np.ndarray:
+    return mix(word.astype(np.uint64) ^ U(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def rest_key(word: np.ndarray) -> np.ndarray:
+    return mix(word.astype(np.uint64) ^ U(0xA5A3564E27F88691)).view(np.int64)
+
+
+class Tokens:
+    """Texts in a row: hashes, the hashes before them (the end before the first), and where the texts start."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        self.lengths = np.array([len(t) for t in texts])
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.flat = np.concatenate(texts)
+        self.before = np.concatenate([np.roll(t, 1) for t in texts])
+
+    def keys(self) -> np.ndarray:
+        """All filter keys that a score of these texts can ask for."""
+        words = np.unique(self.flat)
+        return np.unique(np.concatenate((words, followers_key(words), rest_key(words), pair_key(self.before, self.flat))))
 
 
 class Scorer:
-    """log10 probabilities from the filter, the common words and what their bigrams leave."""
-
-    def __init__(self, common: Common, counts: Filter, left: np.ndarray, n: int, v: int) -> None:
-        self.common, self.filter, self.left, self.n, self.v = common, counts, left, n, v
-
-    def token_scores(self, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For tokens of several texts in a row; ``starts`` are the texts' first tokens."""
-        words, back = np.unique(hashes, return_inverse=True)
-        p = ((count_of(self.filter.level(words)) + 0.5) / (self.n + 0.5 * (self.v + 1)))[back]
-        end = self.common.ids(np.array([Hashes()[END]]))[0]
-        before = np.concatenate(([end], ids[:-1]))
-        before[starts] = end
-        both = (before >= 0) & (ids >= 0)
-        seen = np.zeros(len(p))
+    """log10 probabilities from the common words and a filter."""
+
+    def __init__(self, common: Common, n: int, v: int) -> None:
+        self.common, self.n, self.v = common, n, v
+
+    def token_scores(self, t: Tokens, counts: Filter | Found) -> np.ndarray:
+        words, back = np.unique(t.flat, return_inverse=True)
+        level = counts.level(words)
+        c = count_of(level)
+        unigram = (c + 0.5) / (self.n + 0.5 * (self.v + 1))
+        # A stored bigram was seen twice, and so were its words: levels are never too low.
+        followed = level > 1
+        left = np.ones(len(words))
+        ids = self.common.ids(words)
+        known, ask = ids >= 0, followed & (ids < 0)
+        c[known] = self.common.counts[ids[known]]
+        followers, rest = np.zeros(len(words)), np.zeros(len(words))
+        followers[known], rest[known] = self.common.followers[ids[known]], self.common.rest[ids[known]]
+        followers[ask] = count_of(counts.level(followers_key(words[ask])))
+        some = ask & (followers > 0)
+        rest[some] = count_of(counts.level(rest_key(words[some])))
+        some = (followers > 0) & (c > 0)
+        left[some] = np.clip((rest[some] + DISCOUNT * followers[some]) / c[some], 1e-3, 1.0)
+
+        v = np.searchsorted(words, t.before)
+        both = followed[v] & followed[back] & (followers[v] > 0)
+        seen = np.zeros(len(back))
         if both.any():
-            pairs, back = np.unique(pair_key(before[both], ids[both]), return_inverse=True)
-            level = self.filter.level(pairs)
-            seen[both] = (np.maximum(count_of(level) - DISCOUNT, 0))[back]
-        known = before >= 0
-        if known.any():
-            v = before[known]
-            p[known] = np.minimum(1.0, seen[known] / self.common.counts[v] + self.left[v] * p[known])
-        return np.log10(p)
+            pairs, at = np.unique(pair_key(t.before[both], t.flat[both]), return_inverse=True)
+            seen[both] = np.maximum(count_of(counts.level(pairs)) - DISCOUNT, 0)[at]
+        return np.log10(np.minimum(1.0, seen / np.maximum(c[v], 1) + left[v] * unigram[back]))
+
+
+def _joined(ready: DataFrame, chunks: int, made: DataFrame, score, schema: str) -> DataFrame:
+    """Scores with a filter too large to broadcast: its chunks meet each block's distinct keys, a common key once a block."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Hashes()
+        for batch in batches:
+            for block, part in batch.groupby("block"):
+                keys = Tokens([hashes_of(t, memo) for t in part["text"]]).keys()
+                yield pd.DataFrame({"block": block, "key": keys, "chunk": _chunk(keys, chunks).astype(np.int32)})
+
+    def probe(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(chunk):
+            return pd.DataFrame({"block": [], "key": [], "level": []}).astype("int64")
+        filled = np.frombuffer(chunk["bits"].iloc[0], np.uint8)
+        level = _levels(filled, asked["key"].to_numpy(), np.zeros(len(asked), np.int64))
+        return asked[["block", "key"]].assign(level=level)[level > 0]
+
+    def answer(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        memo = Hashes()
+        found = found.drop_duplicates("key")
+        return score(part, Tokens([hashes_of(t, memo) for t in part["text"]]), Found(found["key"].to_numpy(), found["level"].to_numpy()))
+
+    blocks = ready.withColumn("block", F.shiftright("uid", BLOCK.bit_length() - 1))
+    asked = blocks.select("block", "text").mapInPandas(ask, "block long, key long, chunk int")
+    found = asked.groupBy("chunk").cogroup(made.groupBy("chunk")).applyInPandas(probe, "block long, key long, level long")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(answer, schema)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -239,63 +360,70 @@ def scored(docs: DataFrame) -> DataFrame:
     words = stored(counted(train, lambda h: h), "unigrams")
     totals = words.agg(F.sum("n").alias("n"), F.count("key").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    common = Common([(r["key"], r["n"]) for r in words.orderBy(F.desc("n"), "key").limit(COMMON).collect()])
-    shared = spark.sparkContext.broadcast(common)
+    pairs = train.mapInPandas(_pair_counter, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = stored(pairs.where("n > 1"), "bigrams")
+    after = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("taken"))
+    after = stored(after.join(words, "key").select("key", "followers", (F.col("n") - F.col("taken")).alias("rest")), "followers")
+    top = words.orderBy(F.desc("n"), "key").limit(COMMON).join(after, "key", "left")
+    # At most COMMON rows; without stored bigrams a word leaves all of its count.
+    common = Common([(r["key"], r["n"], r["followers"] or 0, r["n"] if r["rest"] is None else r["rest"]) for r in top.collect()])
 
-    def pairs_of(h: np.ndarray) -> np.ndarray:
-        words = shared.value
-        ids = words.ids(np.concatenate((h[-1:], h)))
-        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        return ids[:-1][both] * COMMON + ids[1:][both]
-
-    pairs = stored(counted(train, pairs_of).where("n > 1"), "bigrams")
+    @F.pandas_udf("long")
+    def as_pair(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(pair_key(a.to_numpy(), b.to_numpy()))
 
-    # What the stored bigrams of each common word take: at most COMMON rows.
-    taken = {r["a"]: r["t"] for r in pairs.groupBy(F.shiftright("key", COMMON.bit_length() - 1).alias("a")).agg(F.sum(F.col("n") - DISCOUNT).alias("t")).collect()}
-    left = np.ones(len(common.keys))
-    for a, t in taken.items():
-        left[a] = min(1.0, max(1e-3, 1 - t / common.counts[a]))
+    @F.pandas_udf("long")
+    def as_followers(key: pd.Series) -> pd.Series:
+        return pd.Series(followers_key(key.to_numpy()))
 
     @F.pandas_udf("long")
-    def as_item(key: pd.Series) -> pd.Series:
-        k = key.to_numpy()
-        return pd.Series(pair_key(k // COMMON, k % COMMON))
+    def as_rest(key: pd.Series) -> pd.Series:
+        return pd.Series(rest_key(key.to_numpy()))
 
-    items = words.unionByName(pairs.select(as_item("key").alias("key"), "n"))
-    model = spark.sparkContext.broadcast(Scorer(common, built_filter(items), left, n, v))
+    items = (
+        words.unionByName(pairs.select(as_pair("a", "b").alias("key"), "n"))
+        .unionByName(after.select(as_followers("key").alias("key"), F.col("followers").alias("n")))
+        .unionByName(after.where("rest > 0").select(as_rest("key").alias("key"), F.col("rest").alias("n")))
+    )
+    chunks, made = filter_chunks(items)
+    scorer = spark.sparkContext.broadcast(Scorer(common, n, v))
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, common_tokens long, base double, score double, rare array<long>"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, m = Hashes(), model.value
-        log_count = np.log10((m.common.counts + 0.5) / (m.n + 0.5 * (m.v + 1))) if len(m.common.counts) else np.zeros(0)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                tokens = [hashes_of(t, memo) for t in part["text"]]
-                lengths = np.array([len(t) for t in tokens])
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                flat = np.concatenate(tokens)
-                ids = m.common.ids(flat)
-                scores = np.add.reduceat(m.token_scores(flat, ids, starts), starts)
-                known = ids >= 0
-                base = np.zeros(len(flat))
-                base[known] = log_count[ids[known]]
-                rare = [flat[s : s + k][~known[s : s + k]] for s, k in zip(starts, lengths)]
-                yield pd.DataFrame(
-                    {
-                        "uid": part["uid"].to_numpy(),
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        "held_out": part["held_out"].to_numpy(),
-                        "n_tokens": lengths,
-                        "common_tokens": np.add.reduceat(known.astype(np.int64), starts),
-                        "base": np.add.reduceat(base, starts),
-                        "score": scores,
-                        "rare": rare,
-                    }
-                )
+    def score(part: pd.DataFrame, tokens: Tokens, counts: Filter | Found) -> pd.DataFrame:
+        m = scorer.value
+        log_count = np.log10((m.common.counts + 0.5) / (m.n + 0.5 * (m.v + 1)))
+        ids = m.common.ids(tokens.flat)
+        known = ids >= 0
+        base = np.zeros(len(ids))
+        base[known] = log_count[ids[known]]
+        return pd.DataFrame(
+            {
+                "uid": part["uid"].to_numpy(),
+                "doc_id": part["doc_id"].astype("Int64"),
+                "held_out": part["held_out"].to_numpy(),
+                "n_tokens": tokens.lengths,
+                "common_tokens": np.add.reduceat(known.astype(np.int64), tokens.starts),
+                "base": np.add.reduceat(base, tokens.starts),
+                "score": np.add.reduceat(m.token_scores(tokens, counts), tokens.starts),
+                "rare": [tokens.flat[s : s + k][~known[s : s + k]] for s, k in zip(tokens.starts, tokens.lengths)],
+            }
+        )
 
     ready = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    done = stored(ready.mapInPandas(score, schema), "scores")
+    if chunks * CHUNK_BITS <= MAX_FILTER_MB * 8 * 2**20:
+        model = spark.sparkContext.broadcast(gathered(chunks, made))
+
+        def score_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            memo = Hashes()
+            for batch in batches:
+                for at in range(0, len(batch), BLOCK):
+                    part = batch.iloc[at : at + BLOCK]
+                    yield score(part, Tokens([hashes_of(t, memo) for t in part["text"]]), model.value)
+
+        scores = ready.mapInPandas(score_all, schema)
+    else:
+        scores = _joined(stored(ready, "texts"), chunks, stored(made, "filter"), score, schema)
+    done = stored(scores, "scores")
     rest = done.select("uid", F.explode("rare").alias("key")).join(words, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     exact = rest.groupBy("uid").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("more")

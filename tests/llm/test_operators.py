@@ -291,6 +291,35 @@ def test_bloom_lm(docs, none, rows):
     assert bloom_lm.scored(none).count() == 0
 
 
+def _bigram_rows(spark):
+    rng = random.Random(8)
+    words = [f"rare{i}" for i in range(400)]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(train[2 * i + j], " ".join(words[i * 10 : i * 10 + 10])) for i in range(40) for j in range(2)]
+    rows += [(train[100 + i], " ".join(rng.choices(["the", "of", "and"], k=50))) for i in range(20)]
+    rows += [(held[0], " ".join(words[20:30])), (held[1], " ".join(reversed(words[20:30])))]
+    return spark.createDataFrame(rows, "doc_id long, text string"), held[:2]
+
+
+def test_bloom_lm_learns_bigrams_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "COMMON", 4)
+    made, (seen, turned) = _bigram_rows(spark)
+    got = {r.doc_id: r for r in bloom_lm.scored(made).collect()}
+    assert got[seen].base_score == pytest.approx(got[turned].base_score)
+    assert got[seen].score > got[turned].score + 9
+
+
+def test_bloom_lm_large_filter_is_joined(spark, docs, none, monkeypatch):
+    made = docs.select("doc_id", "text").unionByName(_bigram_rows(spark)[0]).repartition(3).cache()
+    monkeypatch.setattr(bloom_lm, "COMMON", 4)
+    monkeypatch.setattr(bloom_lm, "BITS", 200)  # several chunks
+    want = Counter(str(r) for r in bloom_lm.scored(made).collect())
+    monkeypatch.setattr(bloom_lm, "MAX_FILTER_MB", 0)
+    assert Counter(str(r) for r in bloom_lm.scored(made).collect()) == want
+    assert bloom_lm.scored(none).count() == 0
+
+
 def test_counts_are_read_back_from_the_filter(spark):
     made = spark.range(3000).select(F.xxhash64("id").alias("key"), (F.col("id") % 50 + 1).alias("n"))
     filled = bloom_lm.built_filter(made)
