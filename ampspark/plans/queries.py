@@ -285,6 +285,13 @@ def member_order(spark, d):
     return A(spark, d).withColumn("rnk", F.row_number().over(order)).where("rnk <= 5").select("cl_id", "read_id", "rnk")
 
 
+@query(f"{ASG} SELECT cl_id, read_id, row_number() OVER (PARTITION BY cl_id ORDER BY score DESC, read_id)::INT AS rnk FROM a")
+def member_order_all(spark, d):
+    """Every member's rank; ``member_order`` and its SQL stop at 5."""
+    order = Window.partitionBy("cl_id").orderBy(F.desc("score"), "read_id")
+    return A(spark, d).select("cl_id", "read_id", F.row_number().over(order).alias("rnk"))
+
+
 @query(f"{ASG}, s AS (SELECT cl_id, count(*) AS n, row_number() OVER (ORDER BY cl_id) - 1 AS i, count(*) OVER () AS all_n FROM a GROUP BY cl_id) SELECT cl_id, i // (all_n // 4 + 1) AS batch FROM s")
 def batch_equal_count(spark, d):
     s = evaluate.sizes(A(spark, d), "cl_id")
@@ -378,6 +385,15 @@ def band_semi_join(spark, d):
     return hits.shared_within(m.where("lang = 'de'").select("read_id", "km", "pos"), m.where("lang = 'fr'").select("km", "pos"))
 
 
+@query(f"""{U}, {mins('u')}, {REP}, s AS (SELECT km, pos FROM mm JOIN rep ON read_id = cl_id)
+SELECT read_id, km, pos::INT AS pos FROM mm f WHERE EXISTS (SELECT 1 FROM s WHERE s.km = f.km AND abs(s.pos - f.pos) < 500)""")
+def band_semi_join_all(spark, d):
+    """All reads against the representatives; ``band_semi_join`` and its SQL read two languages."""
+    m = M(spark, d)
+    rep = U_(spark, d).groupBy("source").agg(F.min("read_id").alias("cl_id"))
+    return hits.shared_within(m.select("read_id", "km", "pos"), m.join(rep, F.col("read_id") == F.col("cl_id")).select("km", "pos"))
+
+
 @query("""SELECT doc_id AS read_id, source || '_' || doc_id AS acc, regexp_replace(source || '_' || doc_id, '_[^_]*$', '') AS simulated,
 string_split(string_split(source || ' x', ' ')[1] || '_runid=1', '_runid')[1] AS ont, string_split(source || '_strand=+', '_strand')[1] AS plain FROM documents""")
 def accession_modes(spark, d):

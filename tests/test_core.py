@@ -26,6 +26,13 @@ def test_runs_without_sql(spark, name):
     assert queries.queries()[name](spark, SMALL).count() > 0
 
 
+def test_whole_tables_are_read(spark):
+    q, docs = queries.queries(), spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert q["member_order_all"](spark, SMALL).count() == docs.count()
+    got = q["band_semi_join_all"](spark, SMALL).select("read_id").join(docs, F.col("read_id") == F.col("doc_id")).select("lang").distinct().collect()
+    assert {r.lang for r in got} - {"de"}
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
