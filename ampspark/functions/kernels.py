@@ -164,27 +164,30 @@ def lexicographic_minimizers(h: str, k: int, w: int) -> list[tuple[str, int]]:
     return list(dict.fromkeys(min(kmers[i : i + per]) for i in range(max(1, len(kmers) - per + 1)))) if kmers else []
 
 
-@lru_cache(maxsize=None)
-def simulated_share(k: int, w: int, e1: int, e2: int, replicates: int = 20, length: int = 1000, seed: int = 0) -> tuple[float, float, float]:
-    """Mean, least and most share of a read's minimizers found in another read of the same random transcript.
+def replicate_share(k: int, w: int, e1: int, e2: int, replicate: int, length: int = 1000, seed: int = 0) -> float:
+    """Share of a read's minimizers found in another read of the same random transcript.
 
     Error rates are in hundredths: half deletions, half insertions.
     """
-    shares = []
-    for r in range(replicates):
-        rng = np.random.default_rng((seed, k, w, e1, e2, r))
-        source = rng.integers(0, 4, length)
-
-        def mutated(e: float) -> str:
-            kept = source[rng.random(length) >= e / 2]
-            out = []
-            for base, more, extra in zip(kept, rng.random(len(kept)) < e / 2, rng.integers(0, 4, len(kept))):
-                out += [base, extra] if more else [base]
-            return re.sub(r"(.)\1+", r"\1", "".join("ACGT"[x] for x in out))
-
-        a, b = (lexicographic_minimizers(mutated(e / 100), k, w) for e in (e1, e2))
-        at: dict[str, list[int]] = {}
-        for km, pos in b:
-            at.setdefault(km, []).append(pos)
-        shares.append(sum(any(abs(pos - q) < 500 for q in at.get(km, ())) for km, pos in a) / max(1, len(a)))
+    rng = np.random.default_rng((seed, k, w, e1, e2, replicate))
+    source = rng.integers(0, 4, length)
+
+    def mutated(e: float) -> str:
+        kept = source[rng.random(length) >= e / 2]
+        out = []
+        for base, more, extra in zip(kept, rng.random(len(kept)) < e / 2, rng.integers(0, 4, len(kept))):
+            out += [base, extra] if more else [base]
+        return re.sub(r"(.)\1+", r"\1", "".join("ACGT"[x] for x in out))
+
+    a, b = (lexicographic_minimizers(mutated(e / 100), k, w) for e in (e1, e2))
+    at: dict[str, list[int]] = {}
+    for km, pos in b:
+        at.setdefault(km, []).append(pos)
+    return sum(any(abs(pos - q) < 500 for q in at.get(km, ())) for km, pos in a) / max(1, len(a))
+
+
+@lru_cache(maxsize=None)
+def simulated_share(k: int, w: int, e1: int, e2: int, replicates: int = 20, length: int = 1000, seed: int = 0) -> tuple[float, float, float]:
+    """Mean, least and most ``replicate_share``."""
+    shares = [replicate_share(k, w, e1, e2, r, length, seed) for r in range(replicates)]
     return float(np.mean(shares)), min(shares), max(shares)

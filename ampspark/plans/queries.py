@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from ampspark.functions import sequence as S
 from ampspark.operators import evaluate, hits, leader, reads
 
 K, W, Q = 13, 20, 9.5
+REPLICATES, SIMULATION_TASKS = 999, 64
 FOUND: dict[str, tuple[Callable, str | None]] = {}
 
 
@@ -450,12 +450,14 @@ def random_sample(spark, d):
 
 @query(None)
 def shared_probability(spark, d):
-    """Simulated probabilities on a small grid of error rates."""
-    grid = spark.range(1, 6).select(F.lit(K).alias("k"), F.lit(W).alias("w"), F.col("id").alias("e1"), F.explode(F.sequence(F.col("id"), F.lit(5))).alias("e2")).repartition(15, "e1", "e2")
+    """Simulated probabilities for all pairs of error bins, over REPLICATES replicates."""
+    bins = spark.range(1, 16).select(F.col("id").alias("e1"), F.explode(F.sequence(F.col("id"), F.lit(15))).alias("e2"))
+    runs = bins.crossJoin(spark.range(REPLICATES).select(F.col("id").alias("replicate"))).repartition(SIMULATION_TASKS, "e1", "e2", "replicate")
 
     def simulate(batches):
         for b in batches:
-            got = [(r.k, r.w, r.e1, r.e2, *kernels.simulated_share(r.k, r.w, r.e1, r.e2)) for r in b.itertuples()]
-            yield pd.DataFrame(got, columns=["k", "w", "e1", "e2", "p", "least", "most"])
+            yield b.assign(share=[kernels.replicate_share(K, W, r.e1, r.e2, r.replicate) for r in b.itertuples()])[["e1", "e2", "share"]]
 
-    return grid.mapInPandas(simulate, "k int, w int, e1 long, e2 long, p double, least double, most double")
+    shares = runs.mapInPandas(simulate, "e1 long, e2 long, share double").groupBy("e1", "e2")
+    got = shares.agg(F.avg("share").alias("p"), F.min("share").alias("least"), F.max("share").alias("most"))
+    return got.select(F.lit(K).alias("k"), F.lit(W).alias("w"), "e1", "e2", "p", "least", "most")

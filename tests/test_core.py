@@ -33,6 +33,15 @@ def test_whole_tables_are_read(spark):
     assert {r.lang for r in got} - {"de"}
 
 
+def test_simulation_has_all_pairs_of_bins(spark, monkeypatch):
+    assert queries.REPLICATES == 999
+    monkeypatch.setattr(queries, "REPLICATES", 20)
+    got = {(r.e1, r.e2): (r.p, r.least, r.most) for r in queries.queries()["shared_probability"](spark, SMALL).collect()}
+    assert set(got) == {(a, b) for a in range(1, 16) for b in range(a, 16)}
+    for e in ((1, 1), (2, 5)):
+        assert got[e] == pytest.approx(kernels.simulated_share(queries.K, queries.W, *e))
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
