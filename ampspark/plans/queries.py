@@ -1,6 +1,7 @@
 """Registered queries of the read-clustering engine, each beside the SQL that computes the same.
 
-Reads are made from whole document texts (see ``reads.surrogate_reads``), clusters and
+Reads are made from whole document texts (see ``reads.surrogate_reads``; those that are
+aligned, from benchmark passages, see ``_short`` and the README), clusters and
 classes from the documents' sources and languages, intervals from events.
 """
 
