@@ -188,6 +188,34 @@ def map_accept(spark, d):
     return _mapped(spark, d).where("mapped_ratio > 0.05")
 
 
+BINNED = f"""{HITS}, eb AS (SELECT read_id AS id, greatest(1, least(15, round(error_rate * 100)::INT)) AS e_bin FROM u),
+g AS (SELECT h.*, 1 - power((1 - own.e_bin / 100.0::DOUBLE) * (1 - other.e_bin / 100.0::DOUBLE), {K}) AS q, lag(idx, 1, -1) OVER o AS pi, lag(pos, 1, 0) OVER o AS pp, lead(idx) OVER o IS NULL AS last
+  FROM h JOIN eb own ON own.id = read_id JOIN eb other ON other.id = cl_id WINDOW o AS (PARTITION BY read_id, cl_id ORDER BY idx)),
+mr AS (SELECT read_id, cl_id, round(sum(CASE WHEN power(q, idx - pi - 1) >= 0.1 THEN pos - pp ELSE 0 END + CASE WHEN last AND power(q, n_min - 1 - idx) >= 0.1 THEN hpc_len - pos ELSE 0 END)::DOUBLE
+  / first(hpc_len), 8) AS mapped_ratio FROM g GROUP BY ALL)"""
+
+
+def _mapped_binned(spark, d):
+    """The probability is looked up by the error bins of read and representative."""
+    e = U_(spark, d).select("read_id", S.error_bin(F.col("error_rate")).alias("e_bin"))
+    rows = H(spark, d).join(e.withColumnRenamed("e_bin", "e1"), "read_id")
+    rows = rows.join(e.select(F.col("read_id").alias("cl_id"), F.col("e_bin").alias("e2")), "cl_id")
+    p = F.pow((1 - F.col("id1") / 100.0) * (1 - F.col("id2") / 100.0), F.lit(K))
+    table = spark.range(1, 16).select(F.col("id").cast("int").alias("id1")).crossJoin(spark.range(1, 16).select(F.col("id").cast("int").alias("id2")))
+    rows = rows.join(F.broadcast(table.withColumn("p", p)), (F.col("e1") == F.col("id1")) & (F.col("e2") == F.col("id2")))
+    return hits.mapped(rows, F.col("p")).select("read_id", "cl_id", F.round("mapped_ratio", 8).alias("mapped_ratio"))
+
+
+@query(f"{BINNED} SELECT * FROM mr")
+def mapped_ratio_binned(spark, d):
+    return _mapped_binned(spark, d)
+
+
+@query(f"{BINNED} SELECT * FROM mr WHERE mapped_ratio > {leader.Params.mapped_threshold}")
+def map_accept_binned(spark, d):
+    return _mapped_binned(spark, d).where(F.col("mapped_ratio") > leader.Params.mapped_threshold)
+
+
 GRID = "VALUES (13, 18, 1, 1, 0.8), (13, 20, 1, 2, 0.7), (13, 22, 2, 3, 0.6), (13, 25, 1, 3, 0.5), (15, 50, 1, 2, 0.4)"
 
 

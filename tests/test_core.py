@@ -42,6 +42,23 @@ def test_simulation_has_all_pairs_of_bins(spark, monkeypatch):
         assert got[e] == pytest.approx(kernels.simulated_share(queries.K, queries.W, *e))
 
 
+def test_mapped_ratio_uses_error_bins(spark):
+    q = queries.queries()
+    binned = {(r.read_id, r.cl_id): r.mapped_ratio for r in q["mapped_ratio_binned"](spark, SMALL).collect()}
+    fixed = {(r.read_id, r.cl_id): r.mapped_ratio for r in q["mapped_ratio"](spark, SMALL).collect()}
+    # Bins of 9 and more leave longer stretches without a shared minimizer mapped.
+    assert set(binned) == set(fixed) and sum(binned.values()) > sum(fixed.values())
+    u = {r.read_id: r.error_rate for r in queries.U_(spark, SMALL).select("read_id", "error_rate").collect()}
+    h = {}
+    for r in queries.H(spark, SMALL).collect():
+        h.setdefault((r.read_id, r.cl_id), []).append(r)
+    for (a, b), rows in h.items():
+        bins = [min(15, max(1, int(u[x] * 100 + 0.5))) for x in (a, b)]
+        found = sorted((r.idx, r.pos) for r in rows)
+        own, _ = leader._ratio(found, rows[0].n_min, rows[0].hpc_len, 1, 1 - leader.closed_form_share(*bins, queries.K), 0.1)
+        assert binned[a, b] == pytest.approx(own, abs=1e-7)
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
