@@ -164,15 +164,19 @@ def identify(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
 
 
 def language_of(docs: DataFrame, train: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score; row: the document, if ``keep``.  ``train`` holds doc_id, lang and text."""
+    """doc_id, lang_pred, score; row: the document and lettered: it has a letter, if ``keep``.  ``train`` holds doc_id, lang and text."""
     spark = docs.sparkSession
     sample = sorted((r["lang"], r["n"], r["text"]) for r in training_rows(train).collect())
     model = spark.sparkContext.broadcast(fit([(lang, text) for lang, _, text in sample]))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lettered boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(identify([None if t is None else t for t in batch], model.value), columns=["lang_pred", "score"])
+            found = pd.DataFrame(identify([None if t is None else t for t in batch], model.value), columns=["lang_pred", "score"])
+            # Without a language learned all are und.
+            table = model.value["table"]
+            lettered = found["lang_pred"] != "und" if model.value["langs"] else [bool((symbols_of(t or "", table) != SPACE).any()) for t in batch]
+            yield found.assign(lettered=np.asarray(lettered, bool))
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([F.struct("*").alias("row")] if keep else []))
-    return rows.withColumn("p", predict("text")).select("doc_id", "p.lang_pred", "p.score", *(["row"] if keep else []))
+    return rows.withColumn("p", predict("text")).select("doc_id", "p.lang_pred", "p.score", *(["row", "p.lettered"] if keep else []))

@@ -10,8 +10,8 @@ from ampspark.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter in any text (predicted ``und``) go."""
-    return lang_id.language_of(docs, docs, keep=True).where("lang_pred <> 'und'").select("row.*")
+    """Documents without a letter go, whether or not a language was learned."""
+    return lang_id.language_of(docs, docs, keep=True).where("lettered").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

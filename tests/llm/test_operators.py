@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ampspark.llm import bloom_lm, dart_minhash, exact_dedup, html_extract, lang_id, mixing, multiset_hash, packing, quality_rules, queries, url_templates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, norm string, slot int, key long, uid long, size long, hit boolean, text_a string"
@@ -253,6 +254,12 @@ def test_language_of(docs, none, rows):
     assert {r.lang_pred for r in lang_id.language_of(docs, none).collect()} == {"und"}
 
 
+def test_pipeline_keeps_lettered_documents(spark, docs, rows):
+    want = Counter(i for i, *_ in rows if i not in (200, 201, 202, 207))
+    for made in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
+        assert Counter(r.doc_id for r in corpus_pipeline.identify_language(spark, made, "").collect()) == want
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(3)
     for _ in range(20):
