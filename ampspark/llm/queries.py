@@ -29,7 +29,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
