@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: exactly what ``bytes.split()`` splits on.
 SPACE = r"[\x20\x09-\x0D]+"
+#: A key with more than one in so many rows is hot: there are at most so many of them.
+SHARES = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,21 +28,79 @@ def crc_mod(n: int, column: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_ampspark_shared", None) or tempfile.mkdtemp(prefix="ampspark-")
-        spark._ampspark_shared = path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = getattr(spark, "_ampspark_shared", None) or tempfile.mkdtemp(prefix="ampspark-")
+    spark._ampspark_shared = path
     return path
 
 
+class Scratch:
+    """Tables in the shared folder; they are deleted when the operator that made them has its result."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it back: the lineage ends there."""
+        path = f"{shared_dir(self.spark)}/ampspark/{label}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((back, path))
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Only for tables that no unfinished DataFrame reads."""
+        for df, path in self.made:
+            if any(df is t for t in tables):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.made = [(df, path) for df, path in self.made if not any(df is t for t in tables)]
+
+    def clear(self, *keep: DataFrame) -> None:
+        self.drop(*[df for df, _ in self.made if not any(df is k for k in keep)])
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ampspark/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table of its own in the shared folder, for results that a returned DataFrame reads."""
+    return Scratch(df.sparkSession).put(df, label)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """keys, parts of the keys with more than one in SHARES of all rows: at most SHARES of them.
+
+    ``counts`` has a row per key with its number of rows.  A hot key's rows are to be
+    dealt to ``parts`` parts, 2 * SHARES at most over all keys, so the table can be broadcast.
+    """
+    total = F.broadcast(counts.agg(F.sum(n).alias("total")))
+    share = F.ceil(F.col(n) * SHARES / F.col("total")).cast("int")
+    return counts.join(total).where(F.col(n) * SHARES > F.col("total")).select(*keys, share.alias("parts"))
+
+
+def dealt(rows: DataFrame, keys: list[str], hot: DataFrame, by: Column) -> DataFrame:
+    """rows with ``part``: 0, or for a hot key a number from the hash of ``by``; rows with a null key meet nothing and go anywhere."""
+    none = F.lit(False)
+    for k in keys:
+        none = none | F.col(k).isNull()
+    part = F.when(none, F.pmod(F.xxhash64(by), F.lit(SHARES))).when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("parts"))).otherwise(0)
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("part", part.cast("int")).drop("parts")
+
+
+def copied(rows: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows (the side with few rows a key) with ``part``, once for each part of their key."""
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("part", parts).drop("parts")
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few`` (few rows a key) on ``keys``, the rows of hot keys dealt to many tasks."""
+    return dealt(rows, keys, hot, by).join(copied(few, keys, hot), [*keys, "part"], how).drop("part")

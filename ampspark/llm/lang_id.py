@@ -2,18 +2,23 @@
 
 For each language, a suffix automaton of labelled text.  A document is parsed greedily
 into the longest phrases that occur in that text; the language that needs fewest
-phrases per character wins (among equals the first by code point).  ``score`` is the
-runner-up's share of the phrases of the best two, 0.5 to 1 (1 if one language only was
+normalised phrases wins (among equals the first by code point): naming a place in a text of n symbols
+takes log2(n) bits, so phrases count that much each.  ``score`` is the
+runner-up's share of the bits of the best two, 0.5 to 1 (1 if one language only was
 learned; 0 for ``und``).  ``und``: the text is null or has no letter, or nothing was learned.
 
-Letters are lower-cased, every run of other characters is one space.  Long texts are
-parsed whole (a symbol that the language lacks counts with the phrase after it), in stretches of ``STRETCH`` symbols side by side (a phrase ends at a
-stretch's end).  Rows that repeat an id each get the same prediction; an empty table
-gives no rows; other columns are neither read nor returned.
-
-The fit uses a bounded sample: of each language, the ``SAMPLE_DOCS`` labelled documents
-with the smallest id hash, and of their text ``SAMPLE_CHARS`` characters.  Its size
-bounds the broadcast tables: (2 * SAMPLE_CHARS) * SYMBOLS * 4 bytes a language.
+Letters of all scripts are lower-cased and told apart; every run of other characters is one space.
+The commonest letters are one symbol each; every other learned letter is an escape and two
+digits, so that the tables stay narrow; letters that no language has are one symbol that matches nothing.
+Texts are parsed whole (a symbol that the language lacks is a phrase).  Long texts are parsed in stretches of ``STRETCH`` symbols side by side; each stretch is then parsed on
+from where the one before it really ended until both parses start a phrase at the same symbol, from
+where on they agree, so the result is that of one parse.  Rows that repeat an id each
+get the same prediction; an empty table gives no rows; other columns are neither read nor returned.
+
+The fit uses a bounded sample of labelled rows, each with its whole text: of each language, the
+rows of at most ``ROW_CHARS`` characters with the smallest id hash, ``SAMPLE_DOCS`` at most, as long as those
+before have fewer than ``SAMPLE_CHARS`` characters.  (A language whose labelled texts are all longer is
+not learned.)  That bounds the broadcast tables: about 2 * (SAMPLE_CHARS + ROW_CHARS) states of 300 bytes a language.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ from ampspark.llm.common import crc_mod
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS = 60
 SAMPLE_CHARS = 20_000
-SYMBOLS = 64
+ROW_CHARS = 20_000
+SINGLES, DIGITS = 60, 60
 STRETCH = 2048
 OTHER, SPACE = 1, 0
 OUT = "doc_id long, lang_pred string, score double"
@@ -40,31 +46,36 @@ OUT = "doc_id long, lang_pred string, score double"
 
 def training_rows(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """lang, text of the bounded sample."""
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(folds) != held_out))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    cut = F.substring("text", 1, SAMPLE_CHARS)
-    return labelled.select("doc_id", "lang", cut.alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("lang", "n", "text")
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= ROW_CHARS) & (crc_mod(folds) != held_out)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return docs.select("doc_id", "lang", "text").where(usable).withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("lang", "n", "text")
 
 
 def letter_table() -> np.ndarray:
-    """code point -> whether it is a letter, for the first plane; beyond it letters are looked up one by one."""
-    return np.frombuffer(bytes(unicodedata.category(chr(c))[0] == "L" for c in range(0x10000)), np.bool_)
+    """code point -> whether it is a letter."""
+    return np.frombuffer(bytes(unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), np.bool_)
 
 
 def symbols_of(text: str, table: np.ndarray) -> np.ndarray:
-    """The text as symbol numbers; runs of non-letters are one SPACE."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    s = table[np.minimum(points, 0xFFFF)]
-    if (points > 0xFFFE).any():
-        s = s.copy()
-        for i in np.flatnonzero(points > 0xFFFE):
-            s[i] = OTHER if unicodedata.category(chr(points[i]))[0] == "L" else SPACE
+    """The text as symbol numbers; runs of non-letters are one SPACE.  ``table`` holds a symbol, or ~(rank of an escaped letter)."""
+    s = table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
     space = s == SPACE
-    return s[~(space & np.concatenate(([False], space[:-1])))] if len(s) else s
+    s = s[~(space & np.concatenate(([False], space[:-1])))] if len(s) else s
+    if not len(s) or s.min() >= 0:
+        return s
+    rank, wide = ~s, s < 0
+    out = np.repeat(s, np.where(wide, 3, 1))
+    at = np.flatnonzero(wide) + 2 * np.arange(int(wide.sum()))
+    rank = rank[wide]
+    out[at], out[at + 1], out[at + 2] = 2 + SINGLES + rank // DIGITS**2, 2 + rank // DIGITS % DIGITS, 2 + rank % DIGITS
+    return out
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Suffix automaton as a flat table: state * width + symbol -> next state * width, or ~that if a new phrase begins."""
+    """Suffix automaton as a flat table: state * width + symbol -> next state * width, or ~that if a new phrase begins.
+
+    The last state is the one before the text, and after a symbol that the text lacks: all symbols begin a phrase there.
+    """
     nxt, link, longest, last = [{}], [-1], [0], 0
     for c in symbols:
         new = len(nxt)
@@ -89,7 +100,8 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    root = np.array([nxt[0].get(c, 0) for c in range(width)], np.int64) * width
+    nxt.append({})
+    root = np.array([nxt[0].get(c, len(nxt) - 1) for c in range(width)], np.int64) * width
     table = np.tile(~root, (len(nxt), 1)).astype(np.int32)
     for state, edges in enumerate(nxt):
         for c, to in edges.items():
@@ -97,60 +109,90 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
     return table.ravel()
 
 
-def fit(samples: list[tuple[str, str]], chars: int = SAMPLE_CHARS, width: int = SYMBOLS) -> dict:
-    """langs, their automata, and the symbol table, from (lang, text) pairs."""
+def fit(samples: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> dict:
+    """langs, their automata and bits a phrase, and the symbol table, from (lang, text) pairs."""
     letters = letter_table()
-    seen = Counter(c for _, t in samples for c in t.lower() if ord(c) < 0x10000 and letters[ord(c)])
+    chosen: dict[str, list[str]] = {}
+    for lang, t in samples:
+        own = chosen.setdefault(lang, [])
+        if sum(map(len, own)) < chars:
+            own.append(t)
+    seen = Counter(c for own in chosen.values() for t in own for c in t.lower() if letters[ord(c)])
     table = np.where(letters, OTHER, SPACE).astype(np.int32)
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: width - 2]):
-        table[ord(c)] = i + 2
-    langs = sorted({lang for lang, _ in samples})
-    built = []
-    for lang in langs:
-        own: list[int] = []
-        for _, t in ((x, t) for x, t in samples if x == lang):
-            own += symbols_of(t[: chars - len(own)], table).tolist() + [SPACE]
-            if len(own) >= chars:
-                break
-        built.append(automaton(own, width))
-    return {"langs": langs, "automata": built, "table": table, "width": width}
+    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
+        table[ord(c)] = i + 2 if i < SINGLES else ~(i - SINGLES)
+    width = 2 + SINGLES + -(-max(0, len(seen) - SINGLES) // DIGITS**2)
+    langs = sorted(chosen)
+    learned = [[s for t in chosen[lang] for s in [*symbols_of(t, table).tolist(), SPACE]] for lang in langs]
+    return {"langs": langs, "automata": [automaton(own, width) for own in learned], "width": width, "bits": np.log2([max(2, len(own)) for own in learned]), "table": table}
+
+
+def _parsed(flat: np.ndarray, start: np.ndarray, n: np.ndarray, table: np.ndarray, before: int, flips: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, last state) of the stretches (longest first) flat[start : start + n]; marks in ``flips`` where phrases begin."""
+    state, count = np.full(len(n), before, np.int32), np.zeros(len(n), np.int64)
+    active = np.searchsorted(-n, -np.arange(n[0]), side="left")
+    for step, m in enumerate(active):
+        at = start[:m] + step
+        v = table[state[:m] + flat[at]]
+        flip = v >> 31
+        count[:m] -= flip
+        state[:m] = v ^ flip
+        if flips is not None:
+            flips[at] = flip != 0
+    return count, state
+
+
+def _joined(flat: np.ndarray, start: np.ndarray, n: np.ndarray, carry: np.ndarray, table: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(change of the number of phrases, whether the parses met) of stretches that are really entered in state ``carry``."""
+    change, met = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+    live, state, step = np.arange(len(n)), carry.copy(), 0
+    while len(live):
+        at = start[live] + step
+        v = table[state + flat[at]]
+        flip = v >> 31
+        begins = flips[at].astype(np.int64)
+        change[live] -= flip + begins
+        same = (flip != 0) & (begins != 0)
+        met[live[same]] = True
+        step += 1
+        go = ~same & (n[live] > step)
+        live, state = live[go], (v ^ flip)[go]
+    return change, met
 
 
 def phrases(texts: list[np.ndarray], model: dict, stretch: int = STRETCH) -> np.ndarray:
     """Number of phrases of each text (symbols) in each language: array (texts, languages)."""
-    owner, starts, ends, at = [], [], [], 0
-    for i, t in enumerate(texts):
-        for j in range(0, len(t), stretch):
-            owner.append(i)
-            starts.append(at + j)
-            ends.append(at + min(len(t), j + stretch))
-        at += len(t)
     out = np.zeros((len(texts), len(model["langs"])), np.int64)
-    if not owner:
+    spans = [(i, j, min(len(t), j + stretch) - j) for i, t in enumerate(texts) for j in range(0, len(t), stretch)]
+    if not spans:
         return out
-    flat = np.concatenate(texts)
-    start, n = np.array(starts), np.array(ends) - np.array(starts)
+    owner, inside, n = map(np.array, zip(*spans))
+    offset = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
+    start, flat = offset[owner] + inside, np.concatenate(texts)
+    later = np.flatnonzero(inside > 0)  # stretches with one before them
     order = np.argsort(-n, kind="stable")
-    start, n, owner = start[order], n[order], np.array(owner)[order]
-    active = np.searchsorted(-n, -np.arange(n[0]), side="left")
-    states = [np.zeros(len(n), np.int32) for _ in model["langs"]]
-    counts = [np.ones(len(n), np.int32) for _ in model["langs"]]
-    for step, m in enumerate(active):
-        symbol = flat[start[:m] + step]
-        for state, count, table in zip(states, counts, model["automata"]):
-            v = table[state[:m] + symbol]
-            flip = v >> 31
-            count[:m] -= flip
-            state[:m] = v ^ flip
-    for j, count in enumerate(counts):
-        np.add.at(out[:, j], owner, count)
+    flips = np.zeros(len(flat), bool) if len(later) else None
+    for k, table in enumerate(model["automata"]):
+        count, state = np.empty(len(n), np.int64), np.empty(len(n), np.int32)
+        before = len(table) - model["width"]
+        count[order], state[order] = _parsed(flat, start[order], n[order], table, before, flips)
+        again = np.zeros(0, np.int64)
+        if len(later):
+            change, met = _joined(flat, start[later], n[later], state[later - 1], table, flips)
+            count[later] += change
+            followed = np.zeros(len(n), bool)
+            followed[later - 1] = True
+            again = np.unique(owner[later[~met & followed[later]]])
+        np.add.at(out[:, k], owner, count)
+        for i in again:  # a stretch that never met: one parse
+            out[i, k] = _parsed(texts[i], np.zeros(1, np.int64), np.array([len(texts[i])]), table, before, None)[0][0]
     return out
 
 
 def identify(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
     symbols = [symbols_of(t or "", model["table"]) for t in texts]
     usable = [bool(model["langs"]) and t is not None and bool((s != SPACE).any()) for t, s in zip(texts, symbols)]
-    table = phrases([s for s, u in zip(symbols, usable) if u], model)
+    table = phrases([s for s, u in zip(symbols, usable) if u], model) * model["bits"]
     out, at = [], 0
     for u in usable:
         if not u:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ampspark.llm import bloom_lm, dart_minhash, exact_dedup, html_extract, lang_id, mixing, multiset_hash, packing, quality_rules, queries, url_templates
+from ampspark.llm import bloom_lm, common, dart_minhash, exact_dedup, html_extract, lang_id, mixing, multiset_hash, packing, quality_rules, queries, url_templates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, norm string, slot int, key long, uid long, size long, hit boolean, text_a string"
 WORDS = {
@@ -64,15 +64,19 @@ def _key(x):
     return (x is None, x)
 
 
+def _norm(text: str | None) -> str:
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
 def _sha(text: str | None) -> str:
-    return hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", text or "").encode()).hexdigest()
+    return hashlib.sha256(_norm(text).encode()).hexdigest()
 
 
 def test_exact_dedup(docs, none, rows):
     groups = defaultdict(list)
     for i, t, *_ in rows:
         groups[_sha(t)].append(i)
-    got = exact_dedup.exact_groups(docs, hash_all=True).collect()
+    got = exact_dedup.exact_groups(docs).collect()
     assert Counter((r.doc_id, r.text_sha256) for r in got) == Counter((i, _sha(t)) for i, t, *_ in rows)
     for sha, ids in groups.items():
         own = [r for r in got if r.text_sha256 == sha]
@@ -85,6 +89,28 @@ def test_exact_dedup(docs, none, rows):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_exact_copies(none).count() == 0
 
 
+def test_refinement_steps(spark, docs, rows):
+    n, p = {i: len(_norm(t)) for i, (_, t, *_) in enumerate(rows)}, {i: _norm(t)[:256] for i, (_, t, *_) in enumerate(rows)}
+    lengths = {k for k, c in Counter(n.values()).items() if c > 1}
+    want = Counter((n[i], p[i]) for i in n if n[i] in lengths)
+    scratch = common.Scratch(spark)
+    facts = scratch.put(exact_dedup._facts(docs, F.monotonically_increasing_id().alias("uid")), "facts")
+    got = exact_dedup.survivors(facts, scratch)
+    assert Counter(r["rows"] for r in got.collect()) == Counter(c for c in want.values() if c > 1)
+    # The long pair and the copies of "a b c" survive; the sixty texts of their own don't.
+    marked = exact_dedup.with_hit(facts, exact_dedup.slot_bitmaps(got))
+    assert {(r.n, r.hit) for r in marked.collect()} == {(k, want[k, x] > 1) for k, x in set(zip(n.values(), p.values()))} | {(k, True) for k, x in want if want[k, x] > 1}
+    plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # texts were read and hashed once, before
+    scratch.clear()
+
+
+def test_all_slots_are_read_back(spark):
+    made = spark.range(5000).select(F.col("id").alias("n"), (F.col("id") * 7).alias("p"))
+    got = exact_dedup.with_hit(made, exact_dedup.slot_bitmaps(made.where("n % 3 = 0")))
+    assert {r.n % 3 == 0 for r in got.where("hit").collect()} == {True} and got.where("hit").count() == 1667
+
+
 def _targets(sizes: dict, cap: int = 3) -> dict:
     order = sorted(sizes, key=_key)
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
@@ -154,6 +180,21 @@ def test_packing_round_trip(docs, none, rows):
     assert packing.packed(none, queries.tokenizer_path()).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encode.by_word
+    rng = random.Random(1)
+    letters = "abcXYZéÉßİıſǅ ŉ' \t\n.,;:!?0123<|>-_&\u0301\u200b\u3000日本ⅠªΣς\U0001f600n\u0308KΩ\x1c"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(4000)] + ["", "a" * 5000, "it's <|endoftext|> (well),&&& end"]
+    parts = [encode(texts[a:b]) for a, b in packing.blocks(list(map(len, texts)), 3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for p in parts for x in p] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    encode.by_word = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[-3:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts[-3:]]
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(1)
     for _ in range(20):
@@ -205,30 +246,67 @@ def _multiset(text: str | None) -> Counter:
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def test_near_classes(docs, none, rows):
-    ids = sorted({i for i, *_ in rows if i is not None})
-    own = defaultdict(list)
-    for i, t, *_ in rows:
-        if i is not None:
-            own[i].append(_multiset(t))
-    parent = {i: i for i in ids}
+def test_near_classes(spark, docs, none, rows):
+    own = [_multiset(t) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for x, i in enumerate(ids):
-        for j in ids[x + 1 :]:
-            if any(sum((a & b).values()) >= 0.8 * sum((a | b).values()) > 0 for a in own[i] for b in own[j]):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
+    for i in range(len(rows)):
+        for j in range(i):
+            if sum((own[i] & own[j]).values()) >= 0.8 * sum((own[i] | own[j]).values()) > 0:
+                parent[root(i)] = root(j)
+    classes = defaultdict(list)
+    for i in range(len(rows)):
+        classes[root(i)].append(rows[i][0])
+    first = {c: min(ids, key=_key) for c, ids in classes.items()}
     got = dart_minhash.near_classes(docs).collect()
-    assert len(got) == len(rows)
-    assert {(r.doc_id, r.class_id) for r in got if r.doc_id is not None} == {(i, root(i)) for i in ids}
-    assert sum(r.doc_id is None and r.kept for r in got) == 2
-    assert dart_minhash.drop_near_copies(docs).columns == docs.columns
-    assert dart_minhash.near_classes(none).count() == 0
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter((rows[i][0], first[root(i)]) for i in range(len(rows)))
+    assert sum(r.kept for r in got) == len(classes) and all(r.doc_id == r.class_id for r in got if r.kept)
+    stay = dart_minhash.drop_near_copies(docs)
+    assert stay.columns == docs.columns
+    assert Counter(r.doc_id for r in stay.collect()) == Counter(first.values())
+    # The first of a class that repeats with one text stays once; a text of its own under that id stays too.
+    assert Counter(r.text for r in stay.collect() if r.doc_id == 208) == {"other words": 1}
+    assert dart_minhash.near_classes(none).count() == 0 and dart_minhash.drop_near_copies(none).count() == 0
+
+
+def test_near_bound_drops_no_similar_pair(spark):
+    rng = random.Random(6)
+    memo = dart_minhash.WordHashes()
+    base = [f"w{rng.randrange(90)}" for _ in range(300)]
+    texts = [" ".join(w if rng.random() > edit else f"x{rng.randrange(999)}" for w in base[: rng.randrange(240, 300)]) for edit in (0.0, 0.005, 0.01, 0.02, 0.04) for _ in range(8)]
+    sets = [dart_minhash.shingles(t, memo) for t in texts]
+    bits = dart_minhash.parity(*dart_minhash.strips(sets), len(sets))
+    rows = spark.createDataFrame([(i, len(s), b.tolist()) for i, (s, b) in enumerate(zip(sets, bits))], "node long, size long, bits array<long>").cache()
+    both = rows.alias("x").join(rows.alias("y"), F.col("x.node") < F.col("y.node"))
+    left = both.where(dart_minhash.possible(F.col("x.size"), F.col("x.bits"), F.col("y.size"), F.col("y.bits"), 0.8))
+    kept = {(r[0], r[1]) for r in left.select("x.node", "y.node").collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if dart_minhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert near and near <= kept and len(kept) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "SHARES", 8)
+    many = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), "id")
+    few = many.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = common.hot_keys(few, ["k"])
+    assert [(r.k, r.parts) for r in hot.collect()] == [(7, math.ceil((334 + 0) * 8 / 667))]
+    assert common.dealt(many, ["k"], hot, F.col("id")).where("k = 7").select("part").distinct().count() == hot.first().parts
+    got = common.spread_join(many, few, ["k"], hot, F.col("id"), "left")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, many.join(few, "k", "left").collect()))
+
+
+def test_shared_folder_is_required_off_local_mode(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Elsewhere())
 
 
 def test_dart_signatures_estimate_weighted_similarity():
@@ -272,8 +350,31 @@ def test_phrases_are_longest_matches():
             while end < len(text) and text[at : end + 1] in sample:
                 end += 1
             n, at = n + 1, end
-        got = lang_id.phrases([lang_id.symbols_of(text, model["table"])], model, stretch=1000)[0, 0]
-        assert int(got) == n
+        for stretch in (3, 10, 1000):
+            got = lang_id.phrases([lang_id.symbols_of(text, model["table"])], model, stretch=stretch)[0, 0]
+            assert int(got) == n
+
+
+def test_long_texts_and_all_scripts_are_parsed_whole():
+    rng = random.Random(9)
+    cyrillic, han = [chr(0x430 + i) for i in range(32)], [chr(0x4E00 + i) for i in range(4000)]
+    learned = {"en": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=4000)), "ru": "".join(rng.choices(cyrillic, k=4000)), "zh": "".join(rng.choices(han, k=4000)), "gothic": "\U00010330\U00010331\U00010332" * 500}
+    model = lang_id.fit(list(learned.items()), chars=10_000)
+    texts = ["".join(rng.choices(x, k=5000)) for x in ("abcdefgh ijklmnop", cyrillic, han[:50], "\U00010331\U00010330 ")]
+    texts += [learned["en"] * 2, "αβγ ab", learned["zh"][1000:1300]]
+    symbols = [lang_id.symbols_of(t, model["table"]) for t in texts]
+    whole = lang_id.phrases(symbols, model, stretch=10**9)
+    for stretch in (7, 64, 2048):
+        assert (lang_id.phrases(symbols, model, stretch=stretch) == whole).all()
+    assert [lang for lang, _ in lang_id.identify(texts, model)] == ["en", "ru", "zh", "gothic", "en", "en", "zh"]
+    sample = lang_id.symbols_of(han[0] + han[-1], model["table"]).tolist()
+    assert len(set(map(tuple, (lang_id.symbols_of(c, model["table"]).tolist() for c in han if c in learned["zh"])))) == len(set(learned["zh"])) and len(sample) >= 2
+
+
+def test_labelled_texts_are_learned_whole_or_not(spark):
+    rows = [(1, "en", "x" * 30_000), (2, "en", "short text"), (3, "de", "y" * 20_000), (4, None, "z"), (5, "de", None)]
+    got = lang_id.training_rows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 1, 5).collect()
+    assert {(r.lang, len(r.text)) for r in got} == {("en", 10), ("de", 20_000)}
 
 
 def test_bloom_lm(docs, none, rows):
