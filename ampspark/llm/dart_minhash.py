@@ -13,25 +13,29 @@ space; a shorter text is one shingle).  Similar means a weighted Jaccard similar
 * Copies.  Documents with equal shingle sequences are one node from here on.
 * Banded joining.  A band's key is the hash of its ROWS coordinates.  Star rounds compare
   the members of a bucket with one member, another one each round (those first that meet most
-  others in buckets); members of its class
-  need no comparison.  The last round joins, in buckets whose members are not yet one
-  class, members of different classes, at the first band they share, and if their
-  signatures differ in at most ``APART`` coordinates (kept as seven bits each, seven to a
-  long).  Every candidate pair is verified exactly on the whole texts.  A group of n
-  copies costs about n comparisons, not n squared.
+  others in buckets); members of its class need no comparison.
+* The last round takes the buckets whose members are not yet one class: what is in every
+  class but a bucket's largest meets the others of its bucket.
+* Candidates first meet an exact bound: a node's PARITY bits tell, for each slot, whether an
+  odd number of its strips fall there, so two nodes differ in at least as many strips as
+  bits.  Pairs that differ in more strips than the threshold allows can't be similar.
+* Every other candidate pair is verified exactly on the whole texts.  A group of n copies
+  costs about n comparisons, not n squared.
 * Components by minimum label propagation with pointer jumping over stored tables.
 
-A pair at similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4,
-and differs in more than ``APART`` of the K coordinates (SLACK standard deviations) with probability below 3e-4.
+Hot keys (a bucket, a center, a group of copies with more than a 1/SHARES of all rows) are
+dealt to many tasks in every join; group-wise values are aggregated before the shuffle.
+
+A pair at similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, below 1e-4.
 Nulls count as empty; a document without words is a class of its own.  Rows that repeat
-an id belong to one class.  Rows with a null id are classes of their own.  An empty table
+an id are documents of their own: ``kept`` marks one row of each class, the one with the smallest
+id (null ids last).  A class of null ids only has a null class_id.  An empty table
 gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +44,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampspark.llm.common import stored, text_or_empty
+from ampspark.llm.common import Scratch, copied, dealt, hot_keys, spread_join, text_or_empty
 
 WORDS = 5
 THRESHOLD = 0.8
 ROWS = 6
 BANDS = 32
-K = 2 * ROWS * BANDS
+K = ROWS * BANDS
 STARS = 2
-SLACK = 3.5
-LANES = -(-K // 7)
 MEMO = 300_000
+BATCH_WORDS = 100_000
+PARITY = 1024
 U = np.uint64
 
 
@@ -101,10 +105,16 @@ def _gap(h: np.ndarray) -> np.ndarray:
     return -np.log(((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53)
 
 
-def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
-    """(documents, k) of uint32: the earliest dart of each coordinate.  Every set has an element."""
+def parity(owner: np.ndarray, key: np.ndarray, n: int, bits: int = PARITY) -> np.ndarray:
+    """(n, bits / 64) of int64: bit j of a document is set if an odd number of its strips fall into slot j."""
+    odd = np.bincount(owner * bits + (mix(key) % U(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(n, bits), axis=1, bitorder="little").view(np.int64)
+
+
+def signatures(sets: list[np.ndarray], k: int = K, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """(documents, k) of uint32: the earliest dart of each coordinate.  Every set has an element; ``found``: its strips."""
     out = np.full(len(sets) * k, np.uint64(0xFFFFFFFFFFFFFFFF))
-    owner, key = strips(sets)
+    owner, key = found or strips(sets)
     weight = np.array([len(s) for s in sets], np.float64)
     darts = k * np.log(k) + 2 * k
     low, high = np.zeros(len(sets)), darts / weight
@@ -139,42 +149,41 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def apart(threshold: float = THRESHOLD, k: int = K) -> int:
-    """APART: so many coordinates may differ at the threshold."""
-    return math.ceil(k * (1 - threshold) + SLACK * math.sqrt(k * threshold * (1 - threshold)))
-
-
-def lanes_of(signature: np.ndarray) -> np.ndarray:
-    """(documents, lanes) of int64: seven bits of each coordinate, seven coordinates to a long."""
-    bits = np.zeros((len(signature), LANES * 7), np.uint64)
-    bits[:, : signature.shape[1]] = signature & np.uint32(0x7F)
-    return (bits.reshape(len(signature), LANES, 7) << (U(8) * np.arange(7, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
-
-
-def n_apart(a: list[Column], b: list[Column]) -> Column:
-    """Number of coordinates in which two signatures differ, from their lanes."""
-    ones, tops = F.lit(0x7F7F7F7F7F7F7F).cast("long"), F.lit(0x80808080808080).cast("long")
-    return sum((F.bit_count((x.bitwiseXOR(y) + ones).bitwiseAND(tops)) for x, y in zip(a, b)), F.lit(0))
+def batched(texts: list[str], memo: WordHashes, words: int = BATCH_WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(index of the first, shingle sets) of consecutive texts with about ``words`` shingles together, or of one longer text."""
+    at, held, n = 0, [], 0
+    for i, t in enumerate(texts):
+        s = shingles(t, memo)
+        if held and n + len(s) > words:
+            yield at, held
+            at, held, n = i, [], 0
+        held.append(s)
+        n += len(s)
+    if held:
+        yield at, held
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, same (hash of the shingle sequence), keys (one per band), lanes; documents with words and an id only."""
+    """uid, doc_id, th (hash of the text), same1, same2 (hash of the shingle sequence), size, keys (one per band), bits; null from same1 on without words."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for batch in batches:
-            for at in range(0, len(batch), 512):  # bounds the darts held at once
-                part = batch.iloc[at : at + 512]
-                sets = [shingles(t, memo) for t in part["text"]]
+            for at, sets in batched(batch["text"].tolist(), memo):
+                part = batch.iloc[at : at + len(sets)]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                if not full:
-                    continue
-                signed = signatures([sets[i] for i in full])
-                same = [hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest() for i in full]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[full], "same": same, "keys": list(band_keys(signed)), "lanes": list(lanes_of(signed))})
+                out = part[["uid", "doc_id", "th"]].assign(same1=None, same2=None, size=None, keys=None, bits=None)
+                if full:
+                    same = np.array([np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64) for i in full])
+                    some = [sets[i] for i in full]
+                    found = strips(some)
+                    signed, bits = band_keys(signatures(some, found=found)), parity(*found, len(some))
+                    known = pd.DataFrame({"same1": same[:, 0], "same2": same[:, 1], "size": list(map(len, some)), "keys": list(signed), "bits": list(bits)})
+                    out.iloc[full, 3:] = known.to_numpy(object)
+                yield out.astype({c: "Int64" for c in ("doc_id", "same1", "same2", "size")})
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(sketch, "doc_id long, same string, keys array<long>, lanes array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    return rows.mapInPandas(sketch, "uid long, doc_id long, th long, same1 long, same2 long, size long, keys array<long>, bits array<long>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -187,7 +196,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) that are similar.  ``texts`` has doc_id (unique) and text."""
+    """The pairs (a, b) that are similar.  ``texts`` has node (unique) and text; both are stored tables."""
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -203,89 +212,135 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
                 out.append(bool(few >= threshold * many and similarity(x, y) >= threshold))
             yield pd.Series(out)
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    hot_a, hot_b = (hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c]) for c in ("a", "b"))
+    both = spread_join(spread_join(pairs, right, ["b"], hot_b, F.col("a")), left, ["a"], hot_a, F.col("b"))
     return both.where(similar("text_a", "text_b")).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, class_id (smallest node of its component) of the nodes of ``links`` (a, b)."""
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class_id")), "labels")
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, class (smallest node of its component) of the nodes of ``links`` (a, b)."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = scratch.put(both, "edges")
+    hubs = scratch.put(hot_keys(edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"]), "hubs")
+    labels = scratch.put(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class")), "labels")
     while True:
-        least = (
-            edges.join(labels.select(F.col("node").alias("b"), "class_id"), "b").groupBy("a").agg(F.min("class_id").alias("near"))
-            .join(labels, F.col("a") == F.col("node")).select("node", F.least("near", "class_id").alias("class_id"), F.col("class_id").alias("old"))
-        )
-        jump = labels.select(F.col("node").alias("class_id"), F.col("class_id").alias("beyond"))
-        new = stored(least.join(jump, "class_id", "left").select("node", F.least("class_id", F.coalesce("beyond", "class_id")).alias("class_id"), "old"), "labels")
-        changed = new.where("class_id <> old").limit(1).count()
-        labels = new.select("node", "class_id")
+        heard = spread_join(edges, labels.select(F.col("node").alias("b"), "class"), ["b"], hubs, F.col("a")).groupBy("a").agg(F.min("class").alias("near"))
+        least = heard.join(labels, F.col("a") == F.col("node")).select("node", F.least("near", "class").alias("class"), F.col("class").alias("old"))
+        jump = labels.select(F.col("node").alias("class"), F.col("class").alias("beyond"))
+        big = hot_keys(labels.groupBy("class").agg(F.count(F.lit(1)).alias("n")), ["class"])
+        new = spread_join(least, jump, ["class"], big, F.col("node"), "left").select("node", F.least("class", F.coalesce("beyond", "class")).alias("class"), "old")
+        new = scratch.put(new, "labels")
+        changed = new.where("class <> old").limit(1).count()
+        scratch.drop(labels)
+        labels = new
         if not changed:
+            scratch.drop(edges, hubs)
             return labels
 
 
-def _across(rest: DataFrame, signed: DataFrame, most: int) -> DataFrame:
-    """(a, b), a < b: pairs of different classes in one bucket whose signatures are close, each once."""
-    lanes = [f"l{i}" for i in range(LANES)]
-    full = stored(rest.join(signed, "b").select("band", "key", "b", "class", "keys", *[F.get("lanes", F.lit(i)).alias(n) for i, n in enumerate(lanes)]), "open")
-    left = full.select("band", "key", F.col("b").alias("a"), F.col("class").alias("class_a"), F.col("keys").alias("keys_a"), *[F.col(n).alias(f"a_{n}") for n in lanes])
-    near = n_apart([F.col(f"a_{n}") for n in lanes], [F.col(n) for n in lanes]) <= most
-    first = F.array_position(F.zip_with("keys_a", "keys", lambda x, y: x == y), True) == left["band"] + 1
-    same = (left["band"] == full["band"]) & (left["key"] == full["key"])
-    return left.join(full, same & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class")) & near & first).select("a", "b")
+def possible(size_a: Column, bits_a: Column, size_b: Column, bits_b: Column, threshold: float) -> Column:
+    """False only if sizes or parity bits prove that two nodes are not similar."""
+    apart = sum((F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    near = F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b) - 1e-6
+    return near & (apart * (1 + threshold) <= (1 - threshold) * (size_a + size_b) + 1e-6)
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, group (smallest id with the same shingles), kept.
+def _bounded(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that may be similar.  ``pairs`` is stored; ``sizes`` has node (unique), size, bits."""
+    both = pairs
+    for c, other in (("b", "a"), ("a", "b")):
+        hot = hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [c])
+        own = sizes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+        both = spread_join(both, own, [c], hot, F.col(other))
+    return both.where(possible(F.col("size_a"), F.col("bits_a"), F.col("size_b"), F.col("bits_b"), threshold)).select("a", "b")
 
-    kept: doc_id is the smallest of its class, so one id of each class stays.
-    """
-    sketches = stored(sketched(docs), "sketches")
-    same = sketches.groupBy("same").agg(F.min("doc_id").alias("group"))
-    # An id that repeats with different texts joins their groups.
-    member = sketches.select("doc_id", "same").join(same, "same").select("doc_id", "group").distinct()
-    signed = sketches.join(same, (sketches["same"] == same["same"]) & (F.col("doc_id") == F.col("group"))).select(F.col("doc_id").alias("b"), "keys", "lanes").dropDuplicates(["b"])
-    nodes = signed.select("b", F.posexplode("keys").alias("band", "key"))
-    buckets = nodes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(nodes.join(buckets, ["band", "key"]).select("band", "key", "b", "n"), "placed")
+
+def _across(rest: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: pairs of different classes in one bucket that may be similar, each once.  ``rest`` (stored) has key, node, class, size, bits."""
+    # The largest class of a bucket stays on one side: n texts of it and r others make r * n pairs.
+    each = rest.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = each.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.sum("n").alias("n"))
+    main = scratch.put(main, "main")
+    hot = scratch.put(hot_keys(main, ["key"]), "hot")
+    right = spread_join(rest, main.select("key", "main"), ["key"], hot, F.col("node"))
+    left = right.where(F.col("class") != F.col("main")).select("key", *[F.col(c).alias(f"{c}_l") for c in ("node", "class", "size", "bits")])
+    both = copied(left, ["key"], hot).join(dealt(right, ["key"], hot, F.col("node")), ["key", "part"])
+    once = (F.col("class") == F.col("main")) | (F.col("node_l") < F.col("node"))
+    found = both.where((F.col("class") != F.col("class_l")) & once & possible(F.col("size"), F.col("bits"), F.col("size_l"), F.col("bits_l"), threshold))
+    return found.select(F.least("node_l", "node").alias("a"), F.greatest("node_l", "node").alias("b")).distinct()
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: uid (a number of its own), doc_id, th, class_id, kept (one row of each class)."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(sketched(docs), "sketches")
+    same = ["same1", "same2"]
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "uid", "th")
+    groups = rows.where("same1 is not null").groupBy(*same).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "keys", "bits")])
+    groups = scratch.put(groups.withColumn("node", F.col("first.uid")), "groups")
+    nodes = groups.select("node", F.explode("keys").alias("key"))
+    buckets = scratch.put(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    hot = hot_keys(buckets, ["key"])
+    placed = scratch.put(dealt(nodes, ["key"], hot, F.col("node")).join(copied(buckets, ["key"], hot), ["key", "part"]), "placed")
+    hot = scratch.put(hot, "hot")
     # Texts that many others meet are the likeliest to be near all of their bucket: they are its first centers.
-    placed = stored(met.join(met.groupBy("b").agg(F.sum("n").alias("met")), "b").select("band", "key", "b", "met"), "placed")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ids = placed.select(F.col("b").alias("doc_id")).distinct()
-    texts = stored(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    classes = components(member.where("doc_id <> group").select(F.col("group").alias("a"), F.col("doc_id").alias("b")))
-    done = None
+    met = scratch.put(placed.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    wanted = met.join(groups, "node").select("node", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    texts = scratch.put(found.join(wanted.withColumnRenamed("id", "wanted"), ["th"]).where(F.col("id").eqNullSafe(F.col("wanted"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    sizes = groups.select("node", "size", "bits")
+    classes = done = None
     for turn in range(STARS + 1):
-        of = classes.select(F.col("node").alias("b"), F.col("class_id").alias("class"))
-        classed = placed.join(of, "b", "left").select("band", "key", "b", "met", F.coalesce("class", "b").alias("class"))
-        other = F.col("met") * (4 - F.pmod(F.xxhash64("b", F.lit(turn)), F.lit(4)) * min(turn, 1))
-        center = F.max(F.struct(other.alias("order"), (-F.col("b")).alias("id"), F.col("b").alias("a"), F.col("class").alias("class_a"))).alias("center")
-        open_ = classed.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y"), center).where("x < y")
+        classed = placed.join(met, "node")
+        classed = classed.withColumn("class", F.col("node")) if classes is None else classed.join(classes.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        other = F.col("met") * (4 - F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4)) * min(turn, 1))
+        center = F.max(F.struct(other.alias("order"), (-F.col("node")).alias("id"), F.col("node").alias("a"), F.col("class").alias("class_a"))).alias("center")
+        open_ = classed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), center).where("x < y")
         if turn < STARS:
-            star = classed.join(open_.select("band", "key", "center.a", "center.class_a"), ["band", "key"]).where("class <> class_a")
-            pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            star = classed.join(copied(open_.select("key", "center.a", "center.class_a"), ["key"], hot), ["key", "part"]).where("class <> class_a")
+            pairs = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         else:
-            pairs = _across(classed.join(open_.select("band", "key"), ["band", "key"]), signed, apart(threshold))
-        new = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = stored(verified(new, texts, threshold), "links")
+            rest = classed.join(copied(open_.select("key"), ["key"], hot), ["key", "part"]).select("key", "node", "class")
+            pairs = _across(scratch.put(rest.join(sizes, "node"), "rest"), threshold, scratch)
+        new = scratch.put(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if turn < STARS:
+            new = scratch.put(_bounded(new, sizes, threshold), "bounded")
+        links = scratch.put(verified(new, texts, threshold), "links")
         done = new if done is None else done.unionByName(new)
         if links.limit(1).count():
-            classes = components(classes.select(F.col("class_id").alias("a"), F.col("node").alias("b")).unionByName(links))
-    classes = classes.groupBy("node").agg(F.min("class_id").alias("class_id"))
-    groups = member.groupBy("doc_id").agg(F.min("group").alias("group"))
-    joined = rows.select("doc_id").join(classes, F.col("doc_id") == F.col("node"), "left").join(groups, "doc_id", "left")
-    return joined.select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("group", "doc_id").alias("group"),
-        F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"),
-    )
+            classes = components(links if classes is None else links.unionByName(classes.select(F.col("class").alias("a"), F.col("node").alias("b")).where("a <> b")), scratch)
+    # First document of every class of linked nodes, then of every group with more than one row.
+    firsts = groups.select(*same, "node", "first", "n")
+    if classes is not None:
+        linked = scratch.put(classes.select("node", "class").join(firsts, "node"), "linked")
+        of_class = linked.groupBy("class").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n"))
+        hot = hot_keys(of_class, ["class"])
+        best = spread_join(linked, of_class.select("class", "best"), ["class"], hot, F.col("node")).select("node", "best")
+        firsts = firsts.join(best, "node", "left").where("n > 1 or best is not null").withColumn("first", F.coalesce("best", "first"))
+    else:
+        firsts = firsts.where("n > 1")
+    firsts = scratch.put(firsts.select(*same, "first", "n"), "firsts")
+    joined = spread_join(rows.drop("keys", "size", "bits"), firsts.select(*same, "first"), same, hot_keys(firsts, same), F.col("uid"), "left")
+    alone = F.col("first").isNull()
+    out = joined.select("uid", "doc_id", "th", F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id"), (alone | (F.col("uid") == F.col("first.uid"))).alias("kept"))
+    out = scratch.put(out, "near")
+    scratch.clear(out)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose id stays, with all their columns; rows with a null id stay."""
-    gone = near_classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    """The documents that stay, one of each class, with all their columns.
+
+    Rows are told apart by id and text; a row of the table that repeats both is a copy.
+    """
+    judged = near_classes(docs, threshold)
+    key = ["id", "th"]
+    found = judged.select(F.col("doc_id").alias("id"), "th", "kept").groupBy(*key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    # Rows to drop, and rows of which one of several stays; most rows are neither.
+    marked = found.where("not kept or n > 1").select(F.col("id").alias("mark"), "th", "kept")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.struct("*").alias("row"))
+    joined = rows.join(marked, (rows["th"] == marked["th"]) & F.col("id").eqNullSafe(F.col("mark")), "left").select("id", rows["th"], "row", "kept")
+    several = joined.where("kept").groupBy(*key).agg(F.first("row").alias("row"))
+    return joined.where("kept is null").select("row.*").unionByName(several.select("row.*"))
