@@ -127,41 +127,54 @@ WITH p AS (
   FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL
 ), seg AS (
   SELECT page_id, host, path, f.rule AS rule, f.verdict AS fixed,
-         list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS s FROM fit
+         list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS s0,
+         regexp_replace(regexp_replace(path, '[0-9]+', '9', 'g'), '[^9/.\\-_]+', 'a', 'g') AS shape FROM fit
 ), flat AS (
-  SELECT * EXCLUDE s, coalesce(s[1], '') AS s1, coalesce(s[2], '') AS s2, coalesce(s[3], '') AS s3, CASE WHEN len(s) > 4 THEN '**' ELSE coalesce(s[4], '') END AS s4 FROM seg
+  SELECT * REPLACE (CASE WHEN len(s0) = 0 THEN [''] ELSE s0 END AS s0) FROM seg
+), sh AS (
+  SELECT host, s0, shape, count(*) AS n, coalesce(sum(CASE WHEN fixed = 'block' THEN 1 ELSE 0 END), 0) AS bad, count(fixed) AS seen FROM flat GROUP BY ALL
 ), c0 AS (
-  SELECT host, s1, s2, s3, s4, count(*) AS n, coalesce(sum(CASE WHEN fixed = 'block' THEN 1 ELSE 0 END), 0) AS bad, count(fixed) AS seen FROM flat GROUP BY ALL
-), {levels}, b AS (
-  SELECT host, t1, t2, t3, t4, sum(bad) AS bad, sum(seen) AS seen, (t1 <> '')::INT + (t2 <> '')::INT + (t3 <> '')::INT + (t4 <> '')::INT AS depth FROM c4 GROUP BY ALL
-), pool AS (
-  SELECT host, depth, sum(bad) AS all_bad, sum(seen) AS all_seen FROM b GROUP BY ALL HAVING sum(seen) > 0
-), alike AS (
-  SELECT b.*, CASE WHEN all_seen > seen THEN
-      power(bad::DOUBLE / seen - (all_bad - bad)::DOUBLE / (all_seen - seen), 2)
-        <= 3.8416 * (all_bad::DOUBLE / all_seen) * (1 - all_bad::DOUBLE / all_seen) * (1.0 / seen + 1.0 / (all_seen - seen)) ELSE false END AS same
-  FROM b JOIN pool USING (host, depth) WHERE seen > 0
+  SELECT host, s0, s0 AS t, sum(n) AS n FROM sh GROUP BY ALL
+), {levels}, b0 AS (
+  SELECT host, t, shape, shape, sum(sh.n) AS n, sum(bad) AS bad, sum(seen) AS seen FROM sh JOIN {last} USING (host, s0) GROUP BY ALL
+), b AS (
+  SELECT *, struct_pack(w := list_transform(t, lambda x: CASE WHEN x = '*' THEN '*' ELSE 'a' END), most := first_value(shape) OVER (PARTITION BY host, t ORDER BY n DESC, shape DESC)) AS pool FROM b0
+), own AS (
+  SELECT host, pool, t, sum(n) AS m, sum(bad) AS bad, sum(seen) AS seen FROM b GROUP BY ALL
+), each_shape AS (
+  SELECT host, pool, shape, sum(n) AS shape_n FROM b GROUP BY ALL
+), every AS (
+  SELECT *, sum(shape_n) OVER (PARTITION BY host, pool) AS all_n, count(*) OVER (PARTITION BY host, pool) AS kinds FROM each_shape
+), chi AS (
+  SELECT o.host AS host, o.pool AS pool, o.t AS t, e.kinds AS kinds, sum(power(coalesce(b.n, 0) - m * shape_n::DOUBLE / all_n, 2) / (m * shape_n::DOUBLE / all_n)
+         + power(coalesce(b.n, 0) - m * shape_n::DOUBLE / all_n, 2) / ((all_n - m) * shape_n::DOUBLE / all_n)) AS chi
+  FROM own o JOIN every e USING (host, pool) LEFT JOIN b ON b.host = o.host AND b.t = o.t AND b.shape = e.shape WHERE all_n > m GROUP BY o.host, o.pool, o.t, e.kinds
+), same AS (
+  SELECT own.*, coalesce(kinds = 1 OR chi <= greatest(kinds - 1, 1) * power(1 - 2.0 / (9.0 * greatest(kinds - 1, 1)) + 1.6449 * sqrt(2.0 / (9.0 * greatest(kinds - 1, 1))), 3), false) AS alike
+  FROM own LEFT JOIN chi USING (host, pool, t)
 ), pooled AS (
-  SELECT *, CASE WHEN same THEN sum(bad) OVER m ELSE bad END AS mb, CASE WHEN same THEN sum(seen) OVER m ELSE seen END AS ms FROM alike WINDOW m AS (PARTITION BY host, depth, same)
+  SELECT *, CASE WHEN alike THEN sum(bad) OVER m ELSE bad END AS mb, CASE WHEN alike THEN sum(seen) OVER m ELSE seen END AS ms FROM same WINDOW m AS (PARTITION BY host, pool, alike)
 ), reject AS (
-  SELECT DISTINCT host, s1, s2, s3, s4 FROM pooled JOIN c4 USING (host, t1, t2, t3, t4) WHERE (mb + 1.0) / (ms + 4.0) >= 0.5
+  SELECT DISTINCT host, s0, true AS gone FROM pooled JOIN {last} USING (host, t) WHERE (mb + 1.0) / (ms + 4.0) >= 0.5
 )
-SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN r.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM flat LEFT JOIN (SELECT * FROM reject) r USING (host, s1, s2, s3, s4)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN gone THEN 'block' ELSE 'allow' END) AS verdict FROM flat LEFT JOIN reject USING (host, s0)
 """
 
+#: Passes over the template tree that the SQL spells out; further ones change nothing on tables whose variable segments nest less deeply.
+PASSES = 3
+
 
-def _level(i: int) -> str:
-    old = ", ".join(f"t{j}" for j in range(1, i))
-    node = "host" + (", " + old if old else "")
-    seg = f"s{i}"
-    return f"""k{i} AS (
-  SELECT {node}, {seg}, sum(n) AS rows_in FROM c{i - 1} GROUP BY ALL
+def _pass(i: int) -> str:
+    return f"""e{i} AS (
+  SELECT host, s0, n, k, t[k] AS child, t[1:k - 1] AS node FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM c{i - 1})
+), k{i} AS (
+  SELECT host, k, node, child, sum(n) AS rows_in FROM e{i} GROUP BY ALL
 ), w{i} AS (
-  SELECT {node}, {seg}, rows_in, count(*) OVER (PARTITION BY {node}) AS children, sum(rows_in) OVER (PARTITION BY {node}) AS all_rows FROM k{i}
+  SELECT *, count(*) OVER (PARTITION BY host, k, node) AS children, sum(rows_in) OVER (PARTITION BY host, k, node) AS all_rows FROM k{i}
+), h{i} AS (
+  SELECT host, s0, list(k) AS hits FROM e{i} JOIN w{i} USING (host, k, node, child) WHERE children > 20 AND rows_in * 20 < all_rows AND child NOT IN ('*', '') GROUP BY ALL
 ), c{i} AS (
-  SELECT c{i - 1}.*, CASE WHEN w{i}.children <= 20 OR w{i}.rows_in * 20 >= w{i}.all_rows OR {seg} IN ('', '**') THEN {seg} ELSE '*' END AS t{i}
-  FROM c{i - 1} JOIN w{i} USING ({node}, {seg})
+  SELECT host, s0, CASE WHEN hits IS NULL THEN t ELSE list_transform(t, lambda x, k: CASE WHEN list_contains(hits, k) THEN '*' ELSE x END) END AS t, n FROM c{i - 1} LEFT JOIN h{i} USING (host, s0)
 )"""
 
 
@@ -189,4 +202,4 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_id, doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2, "op3_exact_dedup": OP3, "op6_url_templates": OP6.replace("{levels}", ", ".join(map(_level, range(1, 5)))), "op9_dart_minhash": OP9}
+    return {"op2_source_mixing": OP2, "op3_exact_dedup": OP3, "op6_url_templates": OP6.replace("{levels}", ", ".join(_pass(i) for i in range(1, PASSES + 1))).replace("{last}", f"c{PASSES}"), "op9_dart_minhash": OP9}

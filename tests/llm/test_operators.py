@@ -493,8 +493,29 @@ def test_url_rules(spark):
 
 
 def test_url_templates_reject_by_purity(spark):
-    rows = [(f"http://bad.org/es/{i}", "block") for i in range(30)] + [(f"http://a.com/x/{i}", "allow") for i in range(30)]
-    rows += [(f"http://shop.com/en/{chr(97 + i % 26)}{i}", "block") for i in range(40)] + [("http://shop.com/fr/q", "allow")]
-    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_templates.judged(pages).collect()}
-    assert [got[i] for i in range(len(rows))] == [v for _, v in rows]
+    # One host: /en/ is labelled block by a rule; /de/ is built the same way, /files/ isn't.
+    urls = [f"http://shop.com/en/{i}" for i in range(100, 160)] + [f"http://shop.com/de/{i}" for i in range(200, 240)] + [f"http://shop.com/files/v{i}.tar-gz" for i in range(40)]
+    urls += [f"http://calm.net/de/{i}" for i in range(40)] + [f"http://calm.net/fr/{i}" for i in range(40)] + [f"http://free.edu/x/{i}" for i in range(30)]
+    pages = spark.createDataFrame([(i if i else None, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {(r.host, r.path.split("/")[1], r.rule is None): r.verdict for r in url_templates.judged(pages).collect()}
+    assert got == {
+        ("shop.com", "en", False): "block", ("shop.com", "de", True): "block", ("shop.com", "files", True): "allow",
+        ("calm.net", "de", False): "allow", ("calm.net", "fr", True): "allow", ("free.edu", "x", True): "allow",
+    }
+
+
+def test_url_templates_generalise_at_any_depth(spark):
+    deep = "/".join("abcdefgh")
+    words = [f"{a}{b}" for a in "qrstuvw" for b in "hijklmn"]
+    rows = [("h.org", f"{deep}/{w}/{v}/end", 1) for w in words for v in (w[::-1], "zz" + w)] + [("h.org", "about/us", 3), ("h.org", "", 1)]
+    scratch = common.Scratch(spark)
+    got = {r.template: r.t for r in url_templates._generalised(spark.createDataFrame(rows, "host string, template string, n long"), scratch).collect()}
+    assert got.pop("about/us") == "about/us" and got.pop("") == ""
+    # The second variable level is wide only when the first has become one node.
+    assert len(got) == 2 * len(words) and set(got.values()) == {f"{deep}/*/*/end"}
+    scratch.clear()
+
+
+def test_free_urls_are_blocked_by_the_tree(spark):
+    got = queries.op6_url_templates(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
