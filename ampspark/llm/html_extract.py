@@ -1,22 +1,30 @@
 """Main text of a web page, by text-to-tag ratios over streaming parser events.
 
-The standard library's parser streams events; block-level tags end a line.  Lines
-inside head, scripts, styles, menus, headers, footers, sidebars, forms, adverts,
-notices and reader comments are never content.  For the others the ratio of text to
-tags is smoothed with a Gaussian and cut at a threshold into content and the rest
-(link text counts as tags).  A region is content as a whole if it holds a content
-line: an article or main element, or else the lines from the first content line to the last.
+The standard library's parser streams events; block-level tags end a line, and every line knows
+the container element it is in.  What is never text of the article is left out at once: head, scripts,
+styles, menus, headers, footers, sidebars, forms, and containers whose class or id is one of ``NAMES``
+(adverts, notices, reader comments and the like; whole names of container elements only).
+
+1. Every line has a ratio of text to tags (link text counts against it), smoothed with a
+   Gaussian over its neighbours.
+2. Threshold clustering: two means over the logarithms of the smoothed ratios part the lines into
+   dense and thin ones.
+3. A container's worth is its characters in dense lines less those in thin ones, with half of the dense ones
+   once more for an article or main element.  The worthiest container is the content region (among equals
+   the innermost, then the first).
+4. An article or main element is taken whole.  Of another container, the lines from the first
+   dense line (with headings right before it) to the last one.
 
 White space inside a line is one space, lines are trimmed and joined by one space in
 page order; character references are decoded.  A null or empty page, or one without
-content, gives the empty text.  Rows that repeat a page each get it; an empty table
+dense lines, gives the empty text.  Rows that repeat a page each get it; an empty table
 gives no rows; columns other than page_id, url and html are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,32 +38,34 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head script style noscript template svg iframe object nav footer aside form button select textarea dialog menu".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|foot\w*|page-?header|site-?header|masthead|cookies?|consent|gdpr|notices?|"
-    r"newsletter|subscribe|subscription|popup|modal|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|widget\w*|pagination|pager)(?:$|[\s_-])",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert advertisement sponsored promo banner nav navbar menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies cookie-notice cookie-banner consent gdpr notice "
+    "newsletter subscribe popup modal share sharing social related recommended comment comments comment-list comments-area disqus_thread replies respond widget pagination pager".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT = frozenset(["article", "main"])
-SIGMA = 2.0
-SHARE = 0.3
+CONTAINERS = CONTENT | {"body", "div", "section", "td", "ul", "ol", "dl", "table"}
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+SIGMA = 1.0
+BONUS = 0.5
 
 
 class Lines(HTMLParser):
-    """The page's lines: [text parts, tags, link characters, region]; region 0 is outside article and main."""
+    """The page's lines: [text parts, tags, link characters, container, heading]; containers: [parent, is article or main]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, 0]]
+        self.containers: list[tuple[int, bool]] = [(-1, False)]
+        self.lines: list[list] = [[[], 0, 0, 0, False]]
         self.stack: list[tuple[str, bool, int]] = []
+        self.open: Counter[str] = Counter()
         self.dropped = 0
-        self.region = 0
-        self.regions = 0
-        self.links = 0
+        self.at = 0
+        self.inside = 0
 
     def _break(self) -> None:
-        if self.lines[-1][0] or self.lines[-1][3] != self.region:
-            self.lines.append([[], 0, 0, self.region])
+        if self.lines[-1][0] or self.lines[-1][3] != self.at:
+            self.lines.append([[], 0, 0, self.at, False])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -64,26 +74,30 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag == "p":  # an open paragraph ends where the next begins
-            self._close("p", stop=CONTENT | DROPPED | {"div", "section", "td", "li", "blockquote", "body"})
+            self._close("p", stop=CONTAINERS | DROPPED | {"li", "blockquote"})
         given = dict(attrs)
-        named = tag not in CONTENT and tag not in ("html", "body") and any(NAMES.search(given.get(k) or "") for k in ("class", "id"))
-        page_header = tag == "header" and not self.region
+        named = tag in CONTAINERS and tag not in CONTENT and any(n in NAMES for k in ("class", "id") for n in (given.get(k) or "").lower().split())
+        page_header = tag == "header" and not self.inside
         drop = tag in DROPPED or page_header or named or (given.get("role") or "").lower() in ROLES or "hidden" in given or (given.get("aria-hidden") or "") == "true"
-        self.stack.append((tag, drop, self.region))
+        self.stack.append((tag, drop, self.at))
+        self.open[tag] += 1
         self.dropped += drop
-        self.links += tag == "a"
-        if tag in CONTENT and not self.dropped and not self.region:
-            self.regions += 1
-            self.region = self.regions
+        if tag in CONTAINERS and not self.dropped:
+            self.containers.append((self.at, tag in CONTENT))
+            self.at = len(self.containers) - 1
+            self.inside += tag in CONTENT
             self._break()
 
     def _close(self, tag: str, stop: frozenset = frozenset()) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for name, drop, region in reversed(self.stack[i:]):
+                for name, drop, at in reversed(self.stack[i:]):
+                    self.inside -= name in CONTENT and at != self.at
                     self.dropped -= drop
-                    self.links -= name == "a"
-                    self.region = region
+                    self.open[name] -= 1
+                    self.at = at
                 del self.stack[i:]
                 return
             if self.stack[i][0] in stop:
@@ -99,31 +113,68 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            line = self.lines[-1]
-            if line[3] != self.region:
+            if self.lines[-1][3] != self.at:
                 self._break()
-                line = self.lines[-1]
+            line = self.lines[-1]
             line[0].append(data)
-            if self.links:
+            if self.open["a"]:
                 line[2] += len(data.strip())
+            line[4] = line[4] or any(self.open[h] for h in HEADINGS)
 
 
-def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
-    """The texts of the lines that are content, from (text, tags, link characters, region)."""
-    ratios = [max(0, len(t) - 2 * links) / max(1, tags) for t, tags, links, _ in lines]
-    reach = math.ceil(2 * SIGMA)
-    weights = [math.exp(-0.5 * (d / SIGMA) ** 2) for d in range(-reach, reach + 1)]
-    smooth = []
+def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
+    """Gaussian means over the neighbours within three sigma."""
+    reach = math.ceil(3 * sigma)
+    weights = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
+    out = []
     for i in range(len(ratios)):
-        near = [(w, ratios[i + d]) for d, w in zip(range(-reach, reach + 1), weights) if 0 <= i + d < len(ratios)]
-        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
-    mean = sum(smooth) / max(1, len(smooth))
-    hit = [s > 0 and s >= SHARE * mean and r > 0 for s, r in zip(smooth, ratios)]
-    regions = {line[3] for line, h in zip(lines, hit) if h}
-    if regions - {0}:
-        return [t for t, _, _, region in lines if region in regions - {0}]
-    ends = [i for i, h in enumerate(hit) if h]
-    return [t for i, (t, _, links, _) in enumerate(lines) if ends and ends[0] <= i <= ends[-1] and 2 * links <= len(t)]
+        low, high = max(0, i - reach), min(len(ratios), i + reach + 1)
+        near = weights[low - i + reach : high - i + reach]
+        out.append(sum(map(float.__mul__, near, ratios[low:high])) / sum(near))
+    return out
+
+
+def dense_lines(ratios: list[float]) -> list[bool]:
+    """Two means over the logarithms of the smoothed ratios: whether a line is in the upper cluster; equal ones are."""
+    values = [math.log1p(x) for x in smoothed(ratios)]
+    low, high = min(values, default=0.0), max(values, default=0.0)
+    if high - low < 1e-9:
+        return [high > 0] * len(values)
+    while True:
+        cut = (low + high) / 2
+        under, over = [v for v in values if v <= cut], [v for v in values if v > cut]
+        new = sum(under) / len(under), sum(over) / len(over)
+        if new == (low, high):
+            return [v > cut for v in values]
+        low, high = new
+
+
+def content_lines(lines: list[tuple[str, int, int, int, bool]], containers: list[tuple[int, bool]]) -> list[str]:
+    """The texts of the content region's lines, from (text, tags, link characters, container, heading)."""
+    hit = dense_lines([float(max(0, len(t) - 2 * links)) / max(1, tags) for t, tags, links, _, _ in lines])
+    if not any(hit):
+        return []
+    dense, thin = [0] * len(containers), [0] * len(containers)
+    for (t, _, _, at, _), h in zip(lines, hit):
+        (dense if h else thin)[at] += len(t)
+    for c in range(len(containers) - 1, 0, -1):  # a parent comes before its children
+        dense[containers[c][0]] += dense[c]
+        thin[containers[c][0]] += thin[c]
+    depth = [0] * len(containers)
+    for c in range(1, len(containers)):
+        depth[c] = depth[containers[c][0]] + 1
+    best = max(range(len(containers)), key=lambda c: (dense[c] * (1 + BONUS * containers[c][1]) - thin[c], depth[c], -c))
+    inside = [False] * len(containers)
+    for c in range(len(containers)):
+        inside[c] = c == best or c > best and inside[containers[c][0]]
+    own = [i for i, line in enumerate(lines) if inside[line[3]]]
+    if not containers[best][1]:
+        ends = [k for k, i in enumerate(own) if hit[i]]
+        first = ends[0]
+        while first and lines[own[first - 1]][4]:
+            first -= 1
+        own = own[first : ends[-1] + 1]
+    return [lines[i][0] for i in own]
 
 
 def extract(html: str | None) -> str:
@@ -132,8 +183,8 @@ def extract(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, links, region) for parts, tags, links, region in parser.lines]
-    return " ".join(content_lines([x for x in lines if x[0]]))
+    lines = [(" ".join("".join(parts).split()), tags, links, at, heading) for parts, tags, links, at, heading in parser.lines]
+    return " ".join(content_lines([x for x in lines if x[0]], parser.containers))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

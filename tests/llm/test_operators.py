@@ -478,6 +478,44 @@ def test_html(spark):
     assert html_extract.extracted(pages.limit(0)).count() == 0
 
 
+STORY = " ".join(f"sentence number {i} of the story goes on and on with many words." for i in range(8))
+PLAIN = "".join(
+    f"<div class='x{k}'>{body}</div>"
+    for k, body in enumerate(["<a href=1>Home</a> <a href=2>News</a> <a href=3>Mail</a>", "Short note", f"<h2>Title</h2><p>{STORY}</p><p>Brief.</p><p>{STORY}</p>", "<b>Buy</b> <i>now</i> <u>or</u> <b>go</b>", "<a href=4>Terms</a>"])
+)
+
+
+def test_html_regions_follow_the_ratios(monkeypatch):
+    want = f"Title {STORY} Brief. {STORY}"
+    assert html_extract.extract(f"<body>{PLAIN}</body>") == want
+    # The same page with other ratios gives another region.
+    real = html_extract.dense_lines
+    monkeypatch.setattr(html_extract, "dense_lines", lambda ratios: real(sorted(ratios, reverse=True)))
+    assert html_extract.extract(f"<body>{PLAIN}</body>") != want
+    monkeypatch.setattr(html_extract, "dense_lines", lambda ratios: real([0.0] * len(ratios)))
+    assert html_extract.extract(f"<body>{PLAIN}</body>") == ""
+    monkeypatch.setattr(html_extract, "dense_lines", real)
+    # A teaser that is an article loses to a story that isn't.
+    teaser = "<article><a href=9>Read this teaser</a></article>"
+    assert html_extract.extract(f"<body>{teaser}{PLAIN}</body>") == want
+    ratios = [random.Random(i).random() * 90 for i in range(40)]
+    for i, x in enumerate(html_extract.smoothed(ratios, 2.0)):
+        w = {j: math.exp(-((i - j) ** 2) / 8) for j in range(40) if abs(i - j) <= 6}
+        assert x == pytest.approx(sum(w[j] * ratios[j] for j in w) / sum(w.values()))
+
+
+def test_html_names_are_whole_and_of_containers():
+    page = f"<article><h2 id='social-history'>Social history</h2><p class='notice-of-death'>{STORY}</p><p id=comments>kept</p><div class='box comments'>gone</div><div id=ad>gone</div></article>"
+    assert html_extract.extract(page) == f"Social history {STORY} kept"
+
+
+def test_html_deep_and_long_pages():
+    deep = "<div>" * 20_000 + f"<p>{STORY}</p>" + "</div>" * 10_000 + "</b></article>" * 5_000
+    assert html_extract.extract(deep) == STORY
+    long = "".join(f"<p>{STORY} {i}</p>" for i in range(5_000))
+    assert html_extract.extract(f"<nav>x</nav><main>{long}</main>") == " ".join(f"{STORY} {i}" for i in range(5_000))
+
+
 URLS = [
     ("http://www.Example.com/en/7/a", "www.example.com", "/en/7/a", "example.com/en/7", "allow"), ("https://a.com/en/x?q#f", "a.com", "/en/x", "com/en/", "block"),
     ("http://com/en/", "com", "/en/", "com/en/", "block"), ("http://xcom/en/", "xcom", "/en/", None, "allow"), ("x://example.net/de/8", "example.net", "/de/8", "example.net/de/8", "block"),
