@@ -5,14 +5,16 @@ The filter stores, for every unigram and for every bigram of any two words (seen
 twice or more) the pairs (n-gram, 1) .. (n-gram, q), where q is its count on a
 logarithmic scale; a count is read back by probing 1, 2, ... until a probe fails.
 
-    p(w | v) = max(c(v w) - D, 0) / c(v) + b(v) * p(w)   if v was seen, else p(w)
-    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    p(w | v) = (max(q(v w) - D, 0) + (R(v) + D * T(v)) * p(w)) / (Q(v) + R(v))   if v was seen, else p(w)
+    p(w) = (q(w) + 0.5) / (M + 0.5 * (V + 1))
 
-with b(v) = (R(v) + D * T(v)) / c(v), where T(v) is the number of v's stored bigrams and
-R(v) the count of v that they leave; T and R are items of the filter too.  All come from
-the filter, but c(v), T(v) and R(v) of the COMMON commonest words, which are broadcast
-exactly.  ``score`` is the sum of log10 p over the text's tokens.  ``base_score`` uses the
-exact unigram counts.
+where q is a count as it is read back, T(v) the number of v's stored bigrams, Q(v) the sum of their q,
+R(v) the count of v that they leave, and M the sum of q over all words: so the probabilities of the
+known words and of one unknown add up to 1, and so do those after v.  q(w), T(v), Q(v) and R(v) of the COMMON commonest words
+are broadcast exactly; those of other words come from the filter, whose items T and R are too (Q + R is then
+taken to be q(v)), so after a rare word, and where a probe is a false positive, the sum is 1 up to the steps
+of the logarithmic scale.  ``score`` is the sum of log10 p over the text's tokens.  ``base_score``
+uses the exact unigram counts.
 
 Bounds.  The filter takes BITS bits an item.  Up to MAX_FILTER_MB it is broadcast; a
 larger one stays distributed in its chunks, which the distinct keys of every block of
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampspark.llm.common import crc_mod, stored, text_or_empty
@@ -146,11 +148,10 @@ def _pair_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Common:
-    """The commonest words, by hash: ids in order of hash, with exact counts, T and R."""
+    """The commonest words, by hash: ids in order of hash, with exact counts, T, R and Q + R."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int]]) -> None:
-        columns = np.array(sorted(rows), np.int64).reshape(-1, 4).T
-        self.keys, self.counts, self.followers, self.rest = map(np.ascontiguousarray, columns)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, followers: np.ndarray, rest: np.ndarray, whole: np.ndarray) -> None:
+        self.keys, self.counts, self.followers, self.rest, self.whole = keys, counts, followers, rest, whole
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each hash, -1 for words that are not common."""
@@ -172,6 +173,13 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
+def read_back(n: Column) -> Column:
+    """``count_of(level_of(n))`` as a column."""
+    level = F.floor(F.log(BASE, n) + 1e-9) + 1
+    low = F.ceil(F.pow(F.lit(BASE), level - 1) - 1e-9)
+    return (low + F.greatest(low, F.ceil(F.pow(F.lit(BASE), level) - 1e-9) - 1)) / 2.0
+
+
 def _steps(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(key.astype(np.uint64) + U(level * 0x9E3779B97F4A7C15 % 2**64))
     return h, (h >> U(32)) | U(1)
@@ -206,12 +214,8 @@ def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray
 class Filter:
     """All chunks in a row; ``level`` reads counts back by repeated probes."""
 
-    def __init__(self, chunks: int, filled: Iterator[tuple[int, bytes]]) -> None:
-        self.chunks = chunks
-        self.bytes = np.zeros(chunks * CHUNK_BITS // 8, np.uint8)
-        size = CHUNK_BITS // 8
-        for c, b in filled:
-            self.bytes[c * size : (c + 1) * size] = np.frombuffer(b, np.uint8)
+    def __init__(self, chunks: int, filled: np.ndarray) -> None:
+        self.chunks, self.bytes = chunks, filled
 
     def level(self, key: np.ndarray) -> np.ndarray:
         return _levels(self.bytes, key, _chunk(key, self.chunks) * CHUNK_BITS)
@@ -254,12 +258,17 @@ def filter_chunks(items: DataFrame) -> tuple[int, DataFrame]:
     return chunks, items.withColumn("chunk", chunk("key")).groupBy("chunk").applyInPandas(fill, "chunk int, bits binary")
 
 
-def gathered(chunks: int, made: DataFrame) -> Filter:
-    return Filter(chunks, ((r["chunk"], bytes(r["bits"])) for r in made.toLocalIterator()))
+def gathered(chunks: int, made: DataFrame) -> np.ndarray:
+    """The bytes of all chunks."""
+    filled, size = np.zeros(chunks * CHUNK_BITS // 8, np.uint8), CHUNK_BITS // 8
+    for r in made.toLocalIterator():
+        filled[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return filled
 
 
 def built_filter(items: DataFrame) -> Filter:
-    return gathered(*filter_chunks(items))
+    chunks, made = filter_chunks(items)
+    return Filter(chunks, gathered(chunks, made))
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -291,29 +300,31 @@ class Tokens:
 
 
 class Scorer:
-    """log10 probabilities from the common words and a filter."""
+    """log10 probabilities from the common words and a filter; ``m`` is the sum of all counts as they are read back."""
 
-    def __init__(self, common: Common, n: int, v: int) -> None:
-        self.common, self.n, self.v = common, n, v
+    def __init__(self, common: Common, m: float, v: int) -> None:
+        self.common, self.m, self.v = common, m, v
 
     def token_scores(self, t: Tokens, counts: Filter | Found) -> np.ndarray:
         words, back = np.unique(t.flat, return_inverse=True)
         level = counts.level(words)
         c = count_of(level)
-        unigram = (c + 0.5) / (self.n + 0.5 * (self.v + 1))
         # A stored bigram was seen twice, and so were its words: levels are never too low.
         followed = level > 1
         left = np.ones(len(words))
         ids = self.common.ids(words)
         known, ask = ids >= 0, followed & (ids < 0)
         c[known] = self.common.counts[ids[known]]
+        unigram = (c + 0.5) / (self.m + 0.5 * (self.v + 1))
+        whole = c.copy()
+        whole[known] = self.common.whole[ids[known]]
         followers, rest = np.zeros(len(words)), np.zeros(len(words))
         followers[known], rest[known] = self.common.followers[ids[known]], self.common.rest[ids[known]]
         followers[ask] = count_of(counts.level(followers_key(words[ask])))
         some = ask & (followers > 0)
         rest[some] = count_of(counts.level(rest_key(words[some])))
-        some = (followers > 0) & (c > 0)
-        left[some] = np.clip((rest[some] + DISCOUNT * followers[some]) / c[some], 1e-3, 1.0)
+        some = (followers > 0) & (whole > 0)
+        left[some] = np.clip((rest[some] + DISCOUNT * followers[some]) / whole[some], 1e-3, 1.0)
 
         v = np.searchsorted(words, t.before)
         both = followed[v] & followed[back] & (followers[v] > 0)
@@ -321,7 +332,7 @@ class Scorer:
         if both.any():
             pairs, at = np.unique(pair_key(t.before[both], t.flat[both]), return_inverse=True)
             seen[both] = np.maximum(count_of(counts.level(pairs)) - DISCOUNT, 0)[at]
-        return np.log10(np.minimum(1.0, seen / np.maximum(c[v], 1) + left[v] * unigram[back]))
+        return np.log10(np.minimum(1.0, seen / np.maximum(whole[v], 1) + left[v] * unigram[back]))
 
 
 def _joined(ready: DataFrame, chunks: int, made: DataFrame, score, schema: str) -> DataFrame:
@@ -362,11 +373,16 @@ def scored(docs: DataFrame) -> DataFrame:
     n, v = totals["n"] or 0, totals["v"]
     pairs = train.mapInPandas(_pair_counter, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = stored(pairs.where("n > 1"), "bigrams")
-    after = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("taken"))
-    after = stored(after.join(words, "key").select("key", "followers", (F.col("n") - F.col("taken")).alias("rest")), "followers")
+    after = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("taken"), F.sum(read_back(F.col("n"))).alias("held"))
+    after = stored(after.join(words, "key").select("key", "followers", "held", (F.col("n") - F.col("taken")).alias("rest")), "followers")
     top = words.orderBy(F.desc("n"), "key").limit(COMMON).join(after, "key", "left")
     # At most COMMON rows; without stored bigrams a word leaves all of its count.
-    common = Common([(r["key"], r["n"], r["followers"] or 0, r["n"] if r["rest"] is None else r["rest"]) for r in top.collect()])
+    rest = F.coalesce("rest", "n")
+    found = top.select("key", "n", F.coalesce("followers", F.lit(0)), rest, rest + F.coalesce("held", F.lit(0.0))).collect()
+    found = sorted(map(tuple, found))
+    common = tuple(np.array([r[i] for r in found], t) for i, t in enumerate((np.int64, np.int64, np.float64, np.float64, np.float64)))
+    steps = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).agg(F.sum(read_back(F.col("n")) * F.col("words")).alias("m")).first()["m"] or 0.0
+    m_all = float(steps + (common[1] - count_of(level_of(common[1]))).sum())
 
     @F.pandas_udf("long")
     def as_pair(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -386,12 +402,13 @@ def scored(docs: DataFrame) -> DataFrame:
         .unionByName(after.where("rest > 0").select(as_rest("key").alias("key"), F.col("rest").alias("n")))
     )
     chunks, made = filter_chunks(items)
-    scorer = spark.sparkContext.broadcast(Scorer(common, n, v))
+    # Plain arrays: workers need not have this package.
+    known_words = spark.sparkContext.broadcast(common)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, common_tokens long, base double, score double, rare array<long>"
 
     def score(part: pd.DataFrame, tokens: Tokens, counts: Filter | Found) -> pd.DataFrame:
-        m = scorer.value
-        log_count = np.log10((m.common.counts + 0.5) / (m.n + 0.5 * (m.v + 1)))
+        m = Scorer(Common(*known_words.value), m_all, v)
+        log_count = np.log10((m.common.counts + 0.5) / (n + 0.5 * (v + 1)))
         ids = m.common.ids(tokens.flat)
         known = ids >= 0
         base = np.zeros(len(ids))
@@ -418,7 +435,7 @@ def scored(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 for at in range(0, len(batch), BLOCK):
                     part = batch.iloc[at : at + BLOCK]
-                    yield score(part, Tokens([hashes_of(t, memo) for t in part["text"]]), model.value)
+                    yield score(part, Tokens([hashes_of(t, memo) for t in part["text"]]), Filter(chunks, model.value))
 
         scores = ready.mapInPandas(score_all, schema)
     else:

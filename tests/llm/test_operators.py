@@ -367,6 +367,7 @@ def test_long_texts_and_all_scripts_are_parsed_whole():
     for stretch in (7, 64, 2048):
         assert (lang_id.phrases(symbols, model, stretch=stretch) == whole).all()
     assert [lang for lang, _ in lang_id.identify(texts, model)] == ["en", "ru", "zh", "gothic", "en", "en", "zh"]
+    assert lang_id.identify(texts, model, block=100) == lang_id.identify(texts, model)
     sample = lang_id.symbols_of(han[0] + han[-1], model["table"]).tolist()
     assert len(set(map(tuple, (lang_id.symbols_of(c, model["table"]).tolist() for c in han if c in learned["zh"])))) == len(set(learned["zh"])) and len(sample) >= 2
 
@@ -399,6 +400,37 @@ def test_bloom_lm(docs, none, rows):
     assert bloom_lm.scored(none).count() == 0
 
 
+def test_bloom_lm_scores_by_brute_force(spark, monkeypatch):
+    """Every word is common and the filter hardly errs: scores follow from the counts, and probabilities add up to 1."""
+    monkeypatch.setattr(bloom_lm, "BITS", 200)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(1, 13), k=30))) for i in range(60)] + [(1000, "w3 unseen w3")]
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    tokens = {i: [*t.split(), "END"] for i, t in rows}
+    train = [tokens[i] for i, _ in rows if fold[i] != 1 and i != 1000]
+    rows = [r for r in rows if r[0] != 1000 or fold[1000] == 1] or rows
+    c = Counter(w for t in train for w in t)
+    pairs = Counter((a, b) for t in train for a, b in zip(["END", *t], t))
+    pairs = {k: n for k, n in pairs.items() if n > 1}
+    q = {k: float(bloom_lm.count_of(bloom_lm.level_of(np.array([n])))[0]) for k, n in pairs.items()}
+    n, v = sum(c.values()), len(c)
+
+    def p(w, a=None):
+        alone = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        own = [k for k in pairs if k[0] == a]
+        if not own:
+            return alone
+        rest = c[a] - sum(pairs[k] for k in own)
+        return (max(q.get((a, w), 0) - bloom_lm.DISCOUNT, 0) + (rest + bloom_lm.DISCOUNT * len(own)) * alone) / (sum(q[k] for k in own) + rest)
+
+    for a in [None, *c]:
+        assert sum(p(w, a) for w in [*c, "unseen"]) == pytest.approx(1)
+    got = {r.doc_id: r.score for r in bloom_lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows:
+        assert got[i] == pytest.approx(sum(math.log10(p(w, a)) for a, w in zip(["END", *tokens[i]], tokens[i])), rel=1e-9)
+
+
 def _bigram_rows(spark):
     rng = random.Random(8)
     words = [f"rare{i}" for i in range(400)]
