@@ -40,6 +40,7 @@ SAMPLE_CHARS = 20_000
 ROW_CHARS = 20_000
 SINGLES, DIGITS = 60, 60
 STRETCH = 2048
+BLOCK = 4_000_000
 OTHER, SPACE = 1, 0
 OUT = "doc_id long, lang_pred string, score double"
 
@@ -189,7 +190,18 @@ def phrases(texts: list[np.ndarray], model: dict, stretch: int = STRETCH) -> np.
     return out
 
 
-def identify(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
+def identify(texts: list[str | None], model: dict, block: int = BLOCK) -> list[tuple[str, float]]:
+    """(lang_pred, score) of each text; about ``block`` characters are held as symbols at once, or one longer text."""
+    out, first, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t or "") > block:
+            out += _identified(texts[first:i], model)
+            first, held = i, 0
+        held += len(t or "")
+    return out + _identified(texts[first:], model)
+
+
+def _identified(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
     symbols = [symbols_of(t or "", model["table"]) for t in texts]
     usable = [bool(model["langs"]) and t is not None and bool((s != SPACE).any()) for t, s in zip(texts, symbols)]
     table = phrases([s for s, u in zip(symbols, usable) if u], model) * model["bits"]
