@@ -3,16 +3,23 @@
 A text is the multiset of its paragraphs (split at line feeds).  Two kinds of wide
 vectors are hashed from them and summed lane by lane modulo powers of two:
 
-* every paragraph gives EXACT uniform lanes, summed modulo 2**31 (equality);
+* every paragraph gives EXACT uniform lanes, summed modulo 2**31 (equality), as is the number of pieces;
 * every piece of a paragraph gives NEAR lanes of 0 or 1, summed modulo 2**19 (likeness).
-  Pieces end at punctuation marks and at two letters, so where they end depends on the
-  cut only.  Centred sums of such vectors keep inner products, so their cosine estimates
+  A piece ends after a punctuation mark, one of two letters, or, in letters beyond ASCII, one of four
+  UTF-8 bytes, so where it ends depends on the text before the cut only, in any script, and the pieces
+  of a text are all of it.  (Whole paragraphs would not do: a text of one paragraph whose end changes
+  would share nothing.)  Centred sums of such vectors keep inner products, so their cosine estimates
   how much two multisets share (standard error about 1 / sqrt(NEAR)).
 
 Sums are order-independent, and ``combined`` / ``removed`` insert and delete text
 without the rest of the document.  Elements are exploded and summed by built-in
 aggregates, three lanes of 20 bits to a long, in blocks of 2**19 elements, so that a lane
-can't overflow however long a text is; a document's elements meet in its own task first.
+can't overflow however long a text is.
+
+The texts are shuffled once, to ranges of ids, where each meets the next one; a range's rows are
+fingerprinted, and a fingerprint meets the next one, where they are.  Rows that share
+an id, and rows with a null id, are ordered by a hash of their text and dealt to as many ranges as their
+share asks for.
 
 Null counts as empty; the empty text is the empty multiset (all lanes zero).  Equal
 texts have equal fingerprints; two empty texts have likeness 1, an empty and another 0.
@@ -22,17 +29,20 @@ order.  An empty table gives no rows; other columns are neither read nor returne
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampspark.llm.common import shuffle_parts, stored, text_or_empty
+from ampspark.llm.common import shuffle_parts, text_or_empty
 
 SEEDS = 2
 SHIFTS = 20
 MOD = 1 << 19
 EXACT_MOD = 1 << 31
 EXACT = 8
-CUT = r"[.!?,;:|\nyz]+"
+#: A piece ends at the end of its paragraph and after these bytes (as Latin-1 characters).
+CUT = r"\n|(?<=[.!?,;:|yz\x8F\x9F\xAF\xBF])"
 ONES = 1 | 1 << 20 | 1 << 40
 NEAR = SEEDS * SHIFTS * 3
 LONGS = SEEDS * SHIFTS
@@ -44,7 +54,7 @@ def _long(x: int) -> Column:
 
 def elements(text: Column) -> Column:
     """array<struct<whole: boolean, h: bigint>>: hashes of the pieces and of the paragraphs."""
-    pieces = F.filter(F.split(text, CUT), lambda x: F.length(x) > 0)
+    pieces = F.filter(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), CUT), lambda x: F.length(x) > 0)
     paragraphs = F.when(F.length(text) > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
 
     def hashed(parts: Column, whole: bool) -> Column:
@@ -72,7 +82,7 @@ def fingerprinted(rows: DataFrame, keys: list[str], text: str = "text") -> DataF
     lanes = F.flatten(
         F.array(*[F.array(*[F.shiftrightunsigned(f"n{i}", 20 * j).bitwiseAND(_long(MOD - 1)) for j in range(3)]) for i in range(LONGS)])
     )
-    whole = F.array(*[F.pmod(f"e{i}", _long(EXACT_MOD)) for i in range(EXACT)], F.pmod("n", _long(MOD)))
+    whole = F.array(*[F.pmod(f"e{i}", _long(EXACT_MOD)) for i in range(EXACT)], F.pmod("n", _long(EXACT_MOD)))
     blocks = sums.select(*keys, "block", F.concat(whole, lanes).alias("fp"))
     # Nearly every text has one block; the others are folded.
     joined = blocks.groupBy(*keys).agg(F.collect_list("fp").alias("fps"))
@@ -81,7 +91,7 @@ def fingerprinted(rows: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 
 def _modulus(i: Column) -> Column:
-    return F.when(i < EXACT, _long(EXACT_MOD)).otherwise(_long(MOD))
+    return F.when(i <= EXACT, _long(EXACT_MOD)).otherwise(_long(MOD))
 
 
 def combined(a: Column, b: Column) -> Column:
@@ -112,35 +122,54 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_hex(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x, i: F.lpad(F.hex(x), F.when(i < EXACT, 8).otherwise(5), F.lit("0"))), "")
+    return F.array_join(F.transform(fp, lambda x, i: F.lpad(F.hex(x), F.when(i <= EXACT, 8).otherwise(5), F.lit("0"))), "")
+
+
+def _below(cuts: Column, n: int, x: Column, equal: bool) -> Column:
+    """How many of the ``n`` sorted values of the array ``cuts`` are less than ``x`` (or equal), by binary search."""
+
+    def step(found: Column, jump: Column) -> Column:
+        at = F.get(cuts, found + jump - 1)
+        return found + F.when((at <= x) if equal else (at < x), jump).otherwise(0)
+
+    jumps = F.lit([1 << k for k in reversed(range(n.bit_length()))])
+    return F.aggregate(jumps, F.lit(0), step)
 
 
-def with_next(spark: SparkSession, rows: DataFrame, names: list[str]) -> DataFrame:
-    """rows(doc_id, text, ...) with ``next_<name>``: those of the next row in descending doc_id, after the last the first.
+def with_next(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text, ...) with to, rank, own, next_text: the text of the next row in descending doc_id, after the last the first.
 
-    Rows are dealt to ranges of ids (quantiles, so that gaps and clumps do no harm) and
-    each range gets one more copy of the rows that hold the largest id below it; the
-    neighbour is then found inside a range.  The driver holds the range bounds only.
+    Rows are dealt to ranges of (id, hash of the text), quantiles of the ids, so that gaps and clumps do no harm; and
+    each range gets one more copy (own 0) of the row before its first; the neighbour is then found inside a
+    range, the row of the rank before.  The driver holds the range bounds only.
     """
     parts = shuffle_parts(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    above = F.size(F.filter(F.array(*[_long(c) for c in cuts]), lambda c: c < F.col("doc_id"))) + 1 if cuts else F.lit(1)
-    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(above).cast("int"))
-    tops = {r["bucket"]: r["top"] for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q"), F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all_n")).first()
+    cuts = sorted(found["q"] or [])
+    nulls = -(-(found["all_n"] - found["n"]) * parts // max(1, found["all_n"]))
+    array = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
+    first, last = (_below(array, len(cuts), F.col("doc_id"), e) if cuts else F.lit(0) for e in (False, True))
+    place = F.col("h") / F.lit(2.0**64) + 0.5  # of the row among those of its id, 0 to 1
+    of_null = F.least(F.floor(place * nulls), F.lit(max(0, nulls - 1)))
+    of_id = nulls + first + F.least(F.floor(place * (last - first + 1)), last - first)
+    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), of_null).otherwise(of_id).cast("int"))
+    tops = {r["bucket"]: r["top"] for r in dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("top")).collect()}
     order = sorted(tops)
-    copy_to = F.lit(None).cast("int")
-    for b, following in zip(order, order[1:] + order[:1]):
-        copy_to = F.when((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(tops[b])), F.lit(following)).otherwise(copy_to)
-    targets = F.array_compact(F.array(F.struct(F.col("bucket").alias("to"), F.lit(1).alias("own")), F.when(copy_to.isNotNull(), F.struct(copy_to.alias("to"), F.lit(0).alias("own")))))
-    near = Window.partitionBy("to").orderBy("own", F.col("doc_id").asc_nulls_first(), "text")
+    follows = dict(zip(order, order[1:] + order[:1]))
+    size = max(order, default=0) + 1
+    tables = {"top_id": [tops[i]["doc_id"] if i in tops else None for i in range(size)], "top_h": [tops[i]["h"] if i in tops else None for i in range(size)], "copy_to": [follows.get(i) for i in range(size)]}
+    at = {k: F.get(F.from_json(F.lit(json.dumps(v)), "array<bigint>"), F.col("bucket")) for k, v in tables.items()}
+    is_top = F.col("doc_id").eqNullSafe(at["top_id"]) & (F.col("h") == at["top_h"])
+    there = F.struct(F.col("bucket").alias("to"), F.lit(1).alias("own"))
+    copy = F.struct(at["copy_to"].cast("int").alias("to"), F.lit(0).alias("own"))
+    near = Window.partitionBy("to").orderBy("own", F.col("doc_id").asc_nulls_first(), "h", "text")
     return (
-        dealt.withColumn("target", F.explode(targets))
+        dealt.withColumn("target", F.explode(F.when(is_top, F.array(there, copy)).otherwise(F.array(there))))
         .select("*", "target.*")
-        .repartition(parts, "to")
-        .withColumns({f"next_{n}": F.lag(n).over(near) for n in names})
-        .where("own = 1")
-        .drop("bucket", "target", "to", "own")
+        .repartition(max(parts, size), "to")
+        .withColumns({"next_text": F.lag("text").over(near), "rank": F.row_number().over(near)})
+        .drop("bucket", "target", "h")
     )
 
 
@@ -153,14 +182,16 @@ def edited_text() -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp; see the contract of the query."""
     text = text_or_empty()
-    rows = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("uid"))
-    paired = with_next(docs.sparkSession, rows, ["text", "uid"])
-    both = F.array(F.struct(F.lit(False).alias("edited"), F.lit("").alias("sha"), F.col("text").alias("t")),
-        F.struct(F.lit(True).alias("edited"), F.sha2(edited_text(), 256).alias("sha"), edited_text().alias("t")))
-    versions = paired.select("uid", "next_uid", "doc_id", "n_chars", F.inline(both).alias("edited", "sha", "text"))
-    # Stored once: the ids that pair rows come from a single run, and three joins read it.
-    fps = stored(fingerprinted(versions, ["uid", "next_uid", "doc_id", "n_chars", "edited", "sha"]), "fingerprints")
-    own = fps.where("not edited").select("uid", "next_uid", "doc_id", "n_chars", "fp")
-    edited = fps.where("edited").select("uid", F.col("sha").alias("edited_sha256"), F.col("fp").alias("edited_fp"))
-    following = fps.where("not edited").select(F.col("uid").alias("next_uid"), F.col("fp").alias("next_fp"))
-    return own.join(edited, "uid").join(following, "next_uid").drop("uid", "next_uid")
+    rows = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    paired = with_next(docs.sparkSession, rows)
+    plain = F.struct(F.lit(False).alias("edited"), F.lit(None).cast("string").alias("sha"), F.col("text").alias("t"))
+    other = F.struct(F.lit(True).alias("edited"), F.sha2(edited_text(), 256).alias("sha"), edited_text().alias("t"))
+    both = F.when(F.col("own") == 1, F.array(plain, other)).otherwise(F.array(plain))
+    place = ["to", "rank"]
+    versions = paired.select(*place, "own", "doc_id", "n_chars", F.inline(both).alias("edited", "sha", "text"))
+    # Grouped by the range first: every step finds its rows in one task already.
+    fps = fingerprinted(versions, [*place, "own", "doc_id", "n_chars", "edited", "sha"])
+    mine, theirs = (F.first(F.when(F.col("edited") == e, F.col("fp")), ignorenulls=True).alias(n) for e, n in ((False, "fp"), (True, "edited_fp")))
+    each = fps.groupBy(*place, "own", "doc_id", "n_chars").agg(F.max("sha").alias("edited_sha256"), mine, theirs)
+    near = Window.partitionBy("to").orderBy("rank")
+    return each.withColumn("next_fp", F.lag("fp").over(near)).where("own = 1").drop(*place, "own")

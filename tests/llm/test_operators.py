@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -241,6 +242,76 @@ def test_fingerprint_insertion_and_deletion(spark):
     assert (r.one, r.void, r.zero) == (1.0, 1.0, 0.0) and 0.4 < r.half < 0.95
 
 
+def _fingerprint(text: str) -> list[int]:
+    """By brute force: the engine's 64-bit hashes of paragraphs and pieces, summed lane by lane."""
+    def chained(data: bytes, *more: int) -> int:
+        h = xxhash.xxh64_intdigest(data, 42)
+        for x in more:
+            h = xxhash.xxh64_intdigest(x.to_bytes(4, "little"), h)
+        return h
+
+    m = multiset_hash
+    raw = text.encode().decode("latin-1")
+    pieces = [x for x in re.split(m.CUT, raw) if x]
+    exact, near = [0] * m.EXACT, [0] * m.NEAR
+    for par in text.split("\n") if text else []:
+        h0 = chained(par.encode(), 1).to_bytes(8, "little")
+        for i in range(m.EXACT):
+            exact[i] = (exact[i] + chained(h0, 100 + i)) % m.EXACT_MOD
+    for piece in pieces:
+        h0 = chained(piece.encode(), 0)
+        for s in range(m.SEEDS):
+            h = chained(h0.to_bytes(8, "little"), s) if s else h0
+            for k in range(m.SHIFTS):
+                for j in range(3):
+                    near[(s * m.SHIFTS + k) * 3 + j] += h >> (k + 20 * j) & 1
+    return [*exact, len(pieces) % m.EXACT_MOD, *[x % m.MOD for x in near]]
+
+
+def test_fingerprints_by_brute_force(docs, rows):
+    texts = {i: t or "" for i, t, *_ in rows if i not in (208, None)}
+    ids = sorted(texts, reverse=True)
+    for r in multiset_hash.fingerprints(docs).where("doc_id in (0, 1, 100, 200, 203, 207, 209)").collect():
+        assert list(r.fp) == _fingerprint(texts[r.doc_id])
+        after = texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        if r.doc_id not in (0, 209):  # 208 and the null ids have several texts
+            assert list(r.next_fp) == _fingerprint(after)
+            half = r.n_chars // 2
+            assert list(r.edited_fp) == _fingerprint(texts[r.doc_id][: r.n_chars - half] + after[:half])
+
+
+def test_fingerprints_of_all_scripts_and_long_texts(spark):
+    rng = random.Random(4)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz ", "cyrillic": "".join(map(chr, range(0x430, 0x450))), "han": "".join(map(chr, range(0x4E00, 0x5E00))), "cuts": "yz.,"}
+    rows = []
+    for i, x in enumerate(letters.values()):
+        a, b = ("".join(rng.choices(x, k=4000)) for _ in range(2))
+        rows.append((i, a, a[:2000] + b[2000:], b))
+    long = "".join(f"{i}," for i in range((1 << 19) + 5))
+    rows.append((9, long, long[: len(long) // 2] + "q," * 1000, "none of it"))
+    made = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    fp = {n: {r.id: r.fp for r in multiset_hash.fingerprinted(made.select("id", n), ["id"], n).collect()} for n in "abc"}
+    both = spark.createDataFrame([(r[0], fp["a"][r[0]], fp["b"][r[0]], fp["c"][r[0]]) for r in rows], "id long, a array<long>, b array<long>, c array<long>")
+    got = {r.id: (r.half, r.none) for r in both.select("id", multiset_hash.likeness(F.col("a"), F.col("b")).alias("half"), multiset_hash.likeness(F.col("a"), F.col("c")).alias("none")).collect()}
+    assert all(0.25 < got[i][0] < 0.9 and got[i][1] < got[i][0] - 0.15 for i in (0, 1, 2, 9)), got
+    assert fp["a"][3] != fp["c"][3] and fp["a"][3][8] == 4000
+    assert fp["a"][9][8] == (1 << 19) + 5 and all(0 <= x < 1 << 19 for x in fp["a"][9][9:])
+
+
+def test_next_document_with_repeated_and_null_ids(spark, monkeypatch):
+    rows = [(7, f"seven {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(i, f"id {i}") for i in range(100, 130)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = multiset_hash.with_next(spark, made).where("own = 1").collect()
+    ring = {r.text: r.next_text for r in got}
+    at, seen = "id 129", []
+    for _ in rows:
+        seen.append(at)
+        at = ring[at]
+    assert at == "id 129" and len(set(seen)) == len(rows)
+    assert seen[:30] == [f"id {i}" for i in range(129, 99, -1)] and all(x.startswith("seven") for x in seen[30:330]) and all(x.startswith("none") for x in seen[330:])
+    assert len({r.to for r in got if r.doc_id == 7}) > 1 and len({r.to for r in got if r.doc_id is None}) > 1
+
+
 def _multiset(text: str | None) -> Counter:
     w = (text or "").lower().encode("utf-8", "replace").split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
