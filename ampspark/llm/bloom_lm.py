@@ -28,7 +28,8 @@ An empty table gives no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampspark.llm.common import crc_mod, stored, text_or_empty
+from ampspark.llm.common import blocks, crc_mod, stored, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 COMMON = 1 << 14
@@ -92,8 +93,8 @@ def _counter(keys_of):
         counts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                got = [k for k in (keys_of(hashes_of(t, memo)) for t in batch["text"].iloc[at : at + 256]) if len(k)]
+            for first, end in blocks(batch["text"].str.len().tolist()):
+                got = [k for k in (keys_of(hashes_of(t, memo)) for t in batch["text"].iloc[first:end]) if len(k)]
                 if not got:
                     continue
                 keys, n = np.unique(np.concatenate(got), return_counts=True)
@@ -129,10 +130,8 @@ def _pair_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return a[first], b[first], np.bincount(inverse, n).astype(np.int64)
 
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            texts = [hashes_of(t, memo) for t in batch["text"].iloc[at : at + 256]]
-            if not texts:
-                continue
+        for start, end in blocks(batch["text"].str.len().tolist()):
+            texts = [hashes_of(t, memo) for t in batch["text"].iloc[start:end]]
             a, b = np.concatenate([np.roll(h, 1) for h in texts]), np.concatenate(texts)
             _, first, n = np.unique(pair_key(a, b), return_index=True, return_counts=True)
             parts.append((a[first], b[first], n))
@@ -284,65 +283,102 @@ def rest_key(word: np.ndarray) -> np.ndarray:
     return mix(word.astype(np.uint64) ^ U(0xA5A3564E27F88691)).view(np.int64)
 
 
+class Words(dict):
+    """Word -> its number, given as words appear; ``hashes`` by number."""
+
+    def __init__(self) -> None:
+        self.hashes = array("q")
+        self.end = self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        self.hashes.append(h - ((h >> 63) << 64))
+        self[word] = n = len(self)
+        return n
+
+    def of(self, text: str) -> np.ndarray:
+        """Numbers of the text's tokens with the end."""
+        tokens = text.encode("utf-8", "replace").lower().split()
+        tokens.append(END)
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
 class Tokens:
-    """Texts in a row: hashes, the hashes before them (the end before the first), and where the texts start."""
+    """Texts in a row: word numbers, those before them (the end before the first), and where the texts start."""
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
-        self.lengths = np.array([len(t) for t in texts])
+    def __init__(self, texts: Iterable[str], words: Words) -> None:
+        numbers = [words.of(t) for t in texts]
+        self.words = words
+        self.lengths = np.array([len(t) for t in numbers])
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.flat = np.concatenate(texts)
-        self.before = np.concatenate([np.roll(t, 1) for t in texts])
+        self.flat = np.concatenate(numbers)
+        self.before = np.roll(self.flat, 1)
+        self.before[self.starts] = words.end
 
     def keys(self) -> np.ndarray:
         """All filter keys that a score of these texts can ask for."""
-        words = np.unique(self.flat)
-        return np.unique(np.concatenate((words, followers_key(words), rest_key(words), pair_key(self.before, self.flat))))
+        words = np.array(self.words.hashes)
+        return np.unique(np.concatenate((words, followers_key(words), rest_key(words), pair_key(words[self.before], words[self.flat]))))
 
 
 class Scorer:
-    """log10 probabilities from the common words and a filter; ``m`` is the sum of all counts as they are read back."""
+    """log10 probabilities from the common words and a filter, with what it knows of every word by number.
+
+    ``n`` tokens and ``v`` distinct ones were learned; ``m`` is the sum of all counts as they are read back.
+    """
 
-    def __init__(self, common: Common, m: float, v: int) -> None:
-        self.common, self.m, self.v = common, m, v
+    COLUMNS = ("hash", "known", "base", "followed", "followers", "unigram", "whole", "left")
 
-    def token_scores(self, t: Tokens, counts: Filter | Found) -> np.ndarray:
-        words, back = np.unique(t.flat, return_inverse=True)
-        level = counts.level(words)
+    def __init__(self, common: Common, n: int, m: float, v: int, counts: Filter | Found) -> None:
+        self.common, self.n, self.m, self.v, self.counts = common, n, m, v, counts
+        self.table = {c: np.zeros(0, np.int64 if c == "hash" else bool if c in ("known", "followed") else np.float64) for c in self.COLUMNS}
+
+    def learn(self, words: Words) -> None:
+        """Adds the words that are new."""
+        new = np.array(words.hashes[len(self.table["hash"]) :], np.int64)
+        if len(new):
+            more = self._facts(new)
+            self.table = {c: np.concatenate((x, more[c])) for c, x in self.table.items()}
+
+    def _facts(self, words: np.ndarray) -> dict[str, np.ndarray]:
+        level = self.counts.level(words)
         c = count_of(level)
         # A stored bigram was seen twice, and so were its words: levels are never too low.
         followed = level > 1
-        left = np.ones(len(words))
         ids = self.common.ids(words)
         known, ask = ids >= 0, followed & (ids < 0)
-        c[known] = self.common.counts[ids[known]]
-        unigram = (c + 0.5) / (self.m + 0.5 * (self.v + 1))
+        base, left, followers, rest = np.zeros(len(words)), np.ones(len(words)), np.zeros(len(words)), np.zeros(len(words))
+        at = ids[known]
+        c[known] = self.common.counts[at]
+        base[known] = np.log10((c[known] + 0.5) / (self.n + 0.5 * (self.v + 1)))
         whole = c.copy()
-        whole[known] = self.common.whole[ids[known]]
-        followers, rest = np.zeros(len(words)), np.zeros(len(words))
-        followers[known], rest[known] = self.common.followers[ids[known]], self.common.rest[ids[known]]
-        followers[ask] = count_of(counts.level(followers_key(words[ask])))
+        whole[known], followers[known], rest[known] = self.common.whole[at], self.common.followers[at], self.common.rest[at]
+        followers[ask] = count_of(self.counts.level(followers_key(words[ask])))
         some = ask & (followers > 0)
-        rest[some] = count_of(counts.level(rest_key(words[some])))
+        rest[some] = count_of(self.counts.level(rest_key(words[some])))
         some = (followers > 0) & (whole > 0)
         left[some] = np.clip((rest[some] + DISCOUNT * followers[some]) / whole[some], 1e-3, 1.0)
+        unigram = (c + 0.5) / (self.m + 0.5 * (self.v + 1))
+        return dict(zip(self.COLUMNS, (words, known, base, followed, followers, unigram, np.maximum(whole, 1), left)))
 
-        v = np.searchsorted(words, t.before)
-        both = followed[v] & followed[back] & (followers[v] > 0)
-        seen = np.zeros(len(back))
-        if both.any():
-            pairs, at = np.unique(pair_key(t.before[both], t.flat[both]), return_inverse=True)
-            seen[both] = np.maximum(count_of(counts.level(pairs)) - DISCOUNT, 0)[at]
-        return np.log10(np.minimum(1.0, seen / np.maximum(whole[v], 1) + left[v] * unigram[back]))
+    def token_scores(self, t: Tokens) -> np.ndarray:
+        x = self.table
+        both = np.flatnonzero((x["followed"] & (x["followers"] > 0))[t.before] & x["followed"][t.flat])
+        p = x["left"][t.before] * x["unigram"][t.flat]
+        if len(both):
+            v = t.before[both]
+            level = self.counts.level(pair_key(x["hash"][v], x["hash"][t.flat[both]]))
+            p[both] += np.maximum(count_of(level) - DISCOUNT, 0) / x["whole"][v]
+        return np.log10(np.minimum(1.0, p))
 
 
-def _joined(ready: DataFrame, chunks: int, made: DataFrame, score, schema: str) -> DataFrame:
+def _joined(ready: DataFrame, chunks: int, made: DataFrame, scorer, score, schema: str) -> DataFrame:
     """Scores with a filter too large to broadcast: its chunks meet each block's distinct keys, a common key once a block."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Hashes()
         for batch in batches:
             for block, part in batch.groupby("block"):
-                keys = Tokens([hashes_of(t, memo) for t in part["text"]]).keys()
+                keys = Tokens(part["text"], Words()).keys()
                 yield pd.DataFrame({"block": block, "key": keys, "chunk": _chunk(keys, chunks).astype(np.int32)})
 
     def probe(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
@@ -353,9 +389,8 @@ def _joined(ready: DataFrame, chunks: int, made: DataFrame, score, schema: str)
         return asked[["block", "key"]].assign(level=level)[level > 0]
 
     def answer(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        memo = Hashes()
-        found = found.drop_duplicates("key")
-        return score(part, Tokens([hashes_of(t, memo) for t in part["text"]]), Found(found["key"].to_numpy(), found["level"].to_numpy()))
+        found, words = found.drop_duplicates("key"), Words()
+        return score(part, Tokens(part["text"], words), scorer(Found(found["key"].to_numpy(), found["level"].to_numpy())))
 
     blocks = ready.withColumn("block", F.shiftright("uid", BLOCK.bit_length() - 1))
     asked = blocks.select("block", "text").mapInPandas(ask, "block long, key long, chunk int")
@@ -406,13 +441,13 @@ def scored(docs: DataFrame) -> DataFrame:
     known_words = spark.sparkContext.broadcast(common)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, common_tokens long, base double, score double, rare array<long>"
 
-    def score(part: pd.DataFrame, tokens: Tokens, counts: Filter | Found) -> pd.DataFrame:
-        m = Scorer(Common(*known_words.value), m_all, v)
-        log_count = np.log10((m.common.counts + 0.5) / (n + 0.5 * (v + 1)))
-        ids = m.common.ids(tokens.flat)
-        known = ids >= 0
-        base = np.zeros(len(ids))
-        base[known] = log_count[ids[known]]
+    def scorer(counts: Filter | Found) -> Scorer:
+        return Scorer(Common(*known_words.value), n, m_all, v, counts)
+
+    def score(part: pd.DataFrame, tokens: Tokens, m: Scorer) -> pd.DataFrame:
+        m.learn(tokens.words)
+        known = m.table["known"][tokens.flat]
+        hashes = m.table["hash"][tokens.flat]
         return pd.DataFrame(
             {
                 "uid": part["uid"].to_numpy(),
@@ -420,9 +455,9 @@ def scored(docs: DataFrame) -> DataFrame:
                 "held_out": part["held_out"].to_numpy(),
                 "n_tokens": tokens.lengths,
                 "common_tokens": np.add.reduceat(known.astype(np.int64), tokens.starts),
-                "base": np.add.reduceat(base, tokens.starts),
-                "score": np.add.reduceat(m.token_scores(tokens, counts), tokens.starts),
-                "rare": [tokens.flat[s : s + k][~known[s : s + k]] for s, k in zip(tokens.starts, tokens.lengths)],
+                "base": np.add.reduceat(m.table["base"][tokens.flat], tokens.starts),
+                "score": np.add.reduceat(m.token_scores(tokens), tokens.starts),
+                "rare": [hashes[s : s + k][~known[s : s + k]] for s, k in zip(tokens.starts, tokens.lengths)],
             }
         )
 
@@ -431,15 +466,17 @@ def scored(docs: DataFrame) -> DataFrame:
         model = spark.sparkContext.broadcast(gathered(chunks, made))
 
         def score_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            memo = Hashes()
+            words, m = Words(), None
             for batch in batches:
-                for at in range(0, len(batch), BLOCK):
-                    part = batch.iloc[at : at + BLOCK]
-                    yield score(part, Tokens([hashes_of(t, memo) for t in part["text"]]), Filter(chunks, model.value))
+                for first, end in blocks(batch["text"].str.len().tolist()):
+                    if m is None or len(words) > MEMO:
+                        words, m = Words(), scorer(Filter(chunks, model.value))
+                    part = batch.iloc[first:end]
+                    yield score(part, Tokens(part["text"], words), m)
 
         scores = ready.mapInPandas(score_all, schema)
     else:
-        scores = _joined(stored(ready, "texts"), chunks, stored(made, "filter"), score, schema)
+        scores = _joined(stored(ready, "texts"), chunks, stored(made, "filter"), scorer, score, schema)
     done = stored(scores, "scores")
     rest = done.select("uid", F.explode("rare").alias("key")).join(words, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     exact = rest.groupBy("uid").agg(

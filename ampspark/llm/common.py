@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key with more than one in so many rows is hot: there are at most so many of them.
 SHARES = 1024
+BLOCK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,18 @@ def crc_mod(n: int, column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(n))
 
 
+def blocks(lengths: list[int], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive texts with about ``most`` characters together, or of one longer text."""
+    first, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -34,13 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampspark.llm.common import stored, text_or_empty
+from ampspark.llm.common import blocks, stored, text_or_empty
 
 LENGTH = 2048
 FINAL_ID = 1
 SHARD = 20_000
 MEMO = 900_000
-BLOCK_CHARS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -116,18 +115,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def blocks(lengths: list[int], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """(first, end) of consecutive texts with about ``most`` characters together, or of one longer text."""
-    first, held = 0, 0
-    for i, n in enumerate(lengths):
-        if i > first and held + n > most:
-            yield first, i
-            first, held = i, 0
-        held += n
-    if first < len(lengths):
-        yield first, len(lengths)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, final_id: int = FINAL_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: full windows and remainders of every document."""
 

@@ -193,7 +193,7 @@ def test_ids_are_those_of_the_tokenizer():
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     encode.by_word = False
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts[-3:]] == [whole.encode(t, add_special_tokens=False).ids for t in texts[-3:]]
-    assert list(packing.blocks([3, 9, 1, 1, 5], 6)) == [(0, 1), (1, 2), (2, 4), (4, 5)] and list(packing.blocks([])) == []
+    assert list(common.blocks([3, 9, 1, 1, 5], 6)) == [(0, 1), (1, 2), (2, 4), (4, 5)] and list(common.blocks([])) == []
 
 
 def test_best_fit_takes_the_tightest_window():
