@@ -43,6 +43,7 @@ FOLDS, HELD_OUT = 5, 1
 COMMON = 1 << 14
 BASE = 1.5
 PROBES = 4
+SHALLOW = 3  # levels that are probed for every n-gram of a text; deeper ones once for equal n-grams
 BITS = 10
 CHUNK_BITS = 1 << 18
 MAX_FILTER_MB = 256
@@ -79,71 +80,49 @@ def hashes_of(text: str, memo: Hashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
 
 
-def _counted(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+class _Sums:
+    """Counts of keys (one or two columns) in blocks, summed as long as memory allows."""
 
+    def __init__(self, key) -> None:
+        self.key, self.parts, self.held = key, [], 0
 
-def _counter(keys_of):
-    """mapInPandas function: text -> (key, n), summed over as many texts as memory allows."""
+    def add(self, *columns: np.ndarray) -> pd.DataFrame | None:
+        _, first, n = np.unique(self.key(*columns), return_index=True, return_counts=True)
+        self.parts.append((*[c[first] for c in columns], n))
+        self.held += len(first)
+        if self.held <= 2 * FLUSH:
+            return None
+        self.parts = [self._summed()]
+        self.held = len(self.parts[0][0])
+        return self.take() if self.held > FLUSH else None
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Hashes()
-        parts: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for first, end in blocks(batch["text"].str.len().tolist()):
-                got = [k for k in (keys_of(hashes_of(t, memo)) for t in batch["text"].iloc[first:end]) if len(k)]
-                if not got:
-                    continue
-                keys, n = np.unique(np.concatenate(got), return_counts=True)
-                parts.append(keys)
-                counts.append(n)
-                held += len(keys)
-                if held > 2 * FLUSH:
-                    keys, n = _counted(parts, counts)
-                    parts, counts, held = [keys], [n], len(keys)
-                    if held > FLUSH:
-                        yield pd.DataFrame({"key": keys, "n": n})
-                        parts, counts, held = [], [], 0
-        if parts:
-            keys, n = _counted(parts, counts)
-            yield pd.DataFrame({"key": keys, "n": n})
-
-    return count
-
-
-def counted(texts: DataFrame, keys_of) -> DataFrame:
-    return texts.mapInPandas(_counter(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _pair_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas function: text -> (a, b, n) of its bigrams, summed as in ``_counter``; the end precedes the first word."""
-    memo = Hashes()
-    parts: list[tuple[np.ndarray, ...]] = []
-    held = 0
+    def _summed(self) -> tuple[np.ndarray, ...]:
+        *columns, n = map(np.concatenate, zip(*self.parts))
+        _, first, inverse = np.unique(self.key(*columns), return_index=True, return_inverse=True)
+        return (*[c[first] for c in columns], np.bincount(inverse, n).astype(np.int64))
+
+    def take(self) -> pd.DataFrame | None:
+        out = self._summed() if self.parts else None
+        self.parts, self.held = [], 0
+        if out is None:
+            return None
+        return pd.DataFrame({"word": len(out) == 2, "a": out[0] if len(out) == 3 else 0, "b": out[-2], "n": out[-1]})
 
-    def summed() -> tuple[np.ndarray, ...]:
-        a, b, n = map(np.concatenate, zip(*parts))
-        _, first, inverse = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
-        return a[first], b[first], np.bincount(inverse, n).astype(np.int64)
 
+def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: text -> (word, a, b, n): the counts of its words (a 0) and of its bigrams; the end precedes the first word."""
+    memo = Hashes()
+    words, pairs = _Sums(lambda b: b), _Sums(pair_key)
     for batch in batches:
-        for start, end in blocks(batch["text"].str.len().tolist()):
-            texts = [hashes_of(t, memo) for t in batch["text"].iloc[start:end]]
-            a, b = np.concatenate([np.roll(h, 1) for h in texts]), np.concatenate(texts)
-            _, first, n = np.unique(pair_key(a, b), return_index=True, return_counts=True)
-            parts.append((a[first], b[first], n))
-            held += len(first)
-            if held > 2 * FLUSH:
-                parts = [summed()]
-                held = len(parts[0][0])
-                if held > FLUSH:
-                    yield pd.DataFrame(dict(zip("abn", parts[0])))
-                    parts, held = [], 0
-    if parts:
-        yield pd.DataFrame(dict(zip("abn", summed())))
+        for first, end in blocks(batch["text"].str.len().tolist()):
+            texts = [hashes_of(t, memo) for t in batch["text"].iloc[first:end]]
+            before, flat = np.concatenate([np.roll(h, 1) for h in texts]), np.concatenate(texts)
+            for got in (words.add(flat), pairs.add(before, flat)):
+                if got is not None:
+                    yield got
+    for got in (words.take(), pairs.take()):
+        if got is not None:
+            yield got
 
 
 class Common:
@@ -194,12 +173,12 @@ def _chunk(key: np.ndarray, chunks: int) -> np.ndarray:
     return (mix(key.astype(np.uint64) ^ U(0xA0761D6478BD642F)) % U(chunks)).astype(np.int64)
 
 
-def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Levels read from the bytes of a filter; ``base`` is the first bit of each key's chunk."""
-    level = np.zeros(len(key), np.int64)
+def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray, start: int = 0, stop: int = 1 << 30) -> np.ndarray:
+    """Levels read from the bytes of a filter, ``stop`` at most; ``base`` is the first bit of each key's chunk; all have level ``start``."""
+    level = np.full(len(key), start, np.int64)
     live = np.arange(len(key))
-    n = 0
-    while len(live):
+    n = start
+    while len(live) and n < stop:
         n += 1
         h, step = _steps(key[live], n)
         for i in range(PROBES):
@@ -211,13 +190,33 @@ def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray
 
 
 class Filter:
-    """All chunks in a row; ``level`` reads counts back by repeated probes."""
+    """All chunks in a row; ``level`` reads counts back by repeated probes, those of frequent n-grams once."""
 
     def __init__(self, chunks: int, filled: np.ndarray) -> None:
         self.chunks, self.bytes = chunks, filled
+        self.keys, self.levels = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def level(self, key: np.ndarray) -> np.ndarray:
-        return _levels(self.bytes, key, _chunk(key, self.chunks) * CHUNK_BITS)
+        base = _chunk(key, self.chunks) * CHUNK_BITS
+        level = _levels(self.bytes, key, base, stop=SHALLOW)
+        deep = np.flatnonzero(level == SHALLOW)
+        if not len(deep):
+            return level
+        at = np.minimum(np.searchsorted(self.keys, key[deep]), len(self.keys) - 1)
+        new = deep[self.keys[at] != key[deep]]
+        if len(new):
+            keys, first = np.unique(key[new], return_index=True)
+            known = len(self.keys) <= MEMO
+            keys = np.concatenate((self.keys if known else self.keys[:0], keys))
+            found = _levels(self.bytes, key[new[first]], base[new[first]], start=SHALLOW)
+            levels = np.concatenate((self.levels if known else self.levels[:0], found))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.levels = keys[order], levels[order]
+            if not known:
+                return _levels(self.bytes, key, base)
+            at = np.searchsorted(self.keys, key[deep])
+        level[deep] = self.levels[at]
+        return level
 
 
 class Found:
@@ -403,11 +402,12 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text"), (crc_mod(FOLDS) == HELD_OUT).alias("held_out"))
     train = rows.where("not held_out").select("text")
-    words = stored(counted(train, lambda h: h), "unigrams")
+    # One pass over the texts; bigrams seen once are in no item of the filter, and their count is what R leaves.
+    counts = train.mapInPandas(_counter, "word boolean, a long, b long, n long").groupBy("word", "a", "b").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where("word or n > 1"), "counts")
+    words, pairs = counts.where("word").select(F.col("b").alias("key"), "n"), counts.where("not word").select("a", "b", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count("key").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    pairs = train.mapInPandas(_pair_counter, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = stored(pairs.where("n > 1"), "bigrams")
     after = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("taken"), F.sum(read_back(F.col("n"))).alias("held"))
     after = stored(after.join(words, "key").select("key", "followers", "held", (F.col("n") - F.col("taken")).alias("rest")), "followers")
     top = words.orderBy(F.desc("n"), "key").limit(COMMON).join(after, "key", "left")

@@ -538,6 +538,10 @@ def test_counts_are_read_back_from_the_filter(spark):
     n = np.array([r.n for r in made.collect()])
     level = filled.level(keys)
     assert (level >= bloom_lm.level_of(n)).all() and (level == bloom_lm.level_of(n)).mean() > 0.97
+    # Repeats, and keys that were deep before, are read alike.
+    again = np.concatenate((keys[::2], keys[:500], keys[:500]))
+    assert (filled.level(again) == np.concatenate((level[::2], level[:500], level[:500]))).all() and (filled.level(keys) == level).all()
+    assert (bloom_lm._levels(filled.bytes, keys, bloom_lm._chunk(keys, filled.chunks) * bloom_lm.CHUNK_BITS) == level).all()
 
 
 def test_quality_rules(spark, docs, none, rows):
