@@ -136,7 +136,8 @@ def trim(seq: str, primers: list[str], p: Params) -> str:
     both = [o for x in primers for o in (x, kernels.reverse_complement(x))]
     head = [h for x in both if (h := kernels.find_primer(seq[:window], x, p.primer_max_ed))]
     tail = [h for x in both if (h := kernels.find_primer(seq[-window:], x, p.primer_max_ed))]
-    start = max((stop + 1 for _, stop, _ in head), default=0)
+    # The cut is at the primer's last base (its stop is inclusive), which stays: the behaviour to match.
+    start = max((stop for _, stop, _ in head), default=0)
     end = len(seq) - (window - min((s for s, _, _ in tail), default=window))
     return seq[start:end] if start < end else seq
 

@@ -12,10 +12,16 @@ BASES = "ACGTACGTACGTACGTACGTACGTAC"
 QUALS = "#%&()*+,-./0123456789:;<=>"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals a scan with fewer splits than cores (one row group, say) to all cores: what follows costs far more than the rows weigh."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def surrogate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads made from whole document texts: letters become bases and qualities."""
     letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = docs.select(F.col("doc_id").alias("read_id"), F.col("doc_id").cast("string").alias("acc"), letters.alias("x"), "lang", "source")
     return rows.select("read_id", "acc", F.translate("x", LETTERS, BASES).alias("seq"), F.translate("x", LETTERS, QUALS).alias("qual"), "lang", "source")
 
@@ -64,3 +70,24 @@ def ranked_clusters(assignment: DataFrame) -> DataFrame:
     sizes = assignment.groupBy("cl_id").agg(F.count(F.lit(1)).alias("n_reads"), F.max("score").alias("score"))
     order = Window.orderBy(F.desc("n_reads"), F.desc("score"), "cl_id")
     return sizes.withColumn("output_cl_id", F.row_number().over(order).cast("long") - 1)
+
+
+def running_batches(sizes: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """key, size, batch: largest first, a batch ends with the row that brings its total to ``total div n + 1``; the total then starts at 0.
+
+    A fold, so in order; it runs over one row per cluster or batch, in one task.
+    """
+    total = sizes.agg(F.sum(size).alias("all_size"))
+    rows = sizes.join(F.broadcast(total)).select(F.struct((-F.col(size)).alias("order"), F.col(key).alias("key"), F.col(size).alias("size")).alias("row"), F.expr("all_size div " + str(n) + " + 1").alias("chunk"))
+    listed = rows.groupBy("chunk").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    zero = F.lit(0).cast("long")
+
+    def step(acc, row):
+        held = acc["held"] + row["size"]
+        full = held >= acc["chunk"]
+        done = F.concat(acc["out"], F.array(acc["batch"]))
+        return F.struct(done.alias("out"), (acc["batch"] + full.cast("long")).alias("batch"), F.when(full, zero).otherwise(held).alias("held"), acc["chunk"].alias("chunk"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("batch"), zero.alias("held"), F.col("chunk").cast("long").alias("chunk"))
+    batches = F.aggregate("rows", start, step, lambda acc: acc["out"])
+    return listed.select(F.explode(F.arrays_zip(F.col("rows"), batches.alias("batch"))).alias("z")).select(F.col("z.rows.key").alias(key), F.col("z.rows.size").alias(size), F.col("z.batch").alias("batch"))

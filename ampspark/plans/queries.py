@@ -277,13 +277,13 @@ PRIMER = "ACGTACGT"
 
 @query(f"""{X}, w AS (SELECT read_id, seq, unnest(range(1, length(seq) - {len(PRIMER)} + 2)) AS i FROM r),
 m AS (SELECT read_id, i, levenshtein(substr(seq, i, {len(PRIMER)}), '{PRIMER}') AS ed FROM w)
-SELECT read_id, count(*) AS n_hits, min(ed)::INT AS ed, (min(i))::INT AS start, max(i + {len(PRIMER)})::INT AS cut_start FROM m WHERE ed <= 2 GROUP BY read_id""")
+SELECT read_id, count(*) AS n_hits, min(ed)::INT AS ed, (min(i))::INT AS start, max(i + {len(PRIMER)} - 2)::INT AS cut_start FROM m WHERE ed <= 2 GROUP BY read_id""")
 def primer_hits(spark, d):
     n = len(PRIMER)
     infixes = lambda raw: F.transform(F.sequence(F.lit(1), F.length(raw) - n + 1), lambda i: F.struct(i.alias("i"), F.substring(raw, i, F.lit(n)).cast("string").alias("s")))
     rows = R(spark, d).where(F.length("seq") >= n).select("read_id", S.bound(F.col("seq").cast("binary"), infixes).alias("x"))
     found = rows.select("read_id", F.explode("x").alias("x")).select("read_id", "x.i", F.levenshtein("x.s", F.lit(PRIMER)).alias("ed")).where("ed <= 2")
-    return found.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("ed").alias("ed"), F.min("i").alias("start"), F.max(F.col("i") + n).alias("cut_start"))
+    return found.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("ed").alias("ed"), F.min("i").alias("start"), F.max(F.col("i") + n - 2).alias("cut_start"))
 
 
 @query(f"{ASG} SELECT cl_id, count(*) AS size FROM a GROUP BY cl_id")
@@ -329,13 +329,14 @@ def batch_equal_count(spark, d):
     return rows.select("cl_id", F.expr("i div (n div 4 + 1)").alias("batch"))
 
 
-@query(f"""{ASG}, s AS (SELECT cl_id, sum(score)::BIGINT AS nt FROM a GROUP BY cl_id), t AS (SELECT *, sum(nt) OVER (ORDER BY nt DESC, cl_id) AS run, sum(nt) OVER () AS total FROM s)
-SELECT cl_id, ((run - nt) // (total // 4 + 1))::BIGINT AS batch, ((run - nt) // (total // 4 + 1) // 2)::BIGINT AS merged_batch FROM t""")
+@query(f"""WITH RECURSIVE a AS (SELECT doc_id AS read_id, source AS cl_id, lang AS class_id, n_chars AS score FROM documents),
+s AS (SELECT cl_id, sum(score)::BIGINT AS nt FROM a GROUP BY cl_id), o AS (SELECT *, row_number() OVER (ORDER BY nt DESC, cl_id) AS i, (sum(nt) OVER () // 4 + 1)::BIGINT AS chunk FROM s),
+f AS (SELECT cl_id, i, chunk, 0::BIGINT AS batch, CASE WHEN nt >= chunk THEN 0 ELSE nt END AS held, CASE WHEN nt >= chunk THEN 1 ELSE 0 END AS cut FROM o WHERE i = 1
+  UNION ALL SELECT o.cl_id, o.i, o.chunk, f.batch + f.cut, CASE WHEN f.held + o.nt >= o.chunk THEN 0 ELSE f.held + o.nt END, CASE WHEN f.held + o.nt >= o.chunk THEN 1 ELSE 0 END FROM f JOIN o ON o.i = f.i + 1)
+SELECT cl_id, batch, batch // 2 AS merged_batch FROM f""")
 def batch_running_total(spark, d):
     s = A(spark, d).groupBy("cl_id").agg(F.sum("score").alias("nt"))
-    run = F.sum("nt").over(Window.orderBy(F.desc("nt"), "cl_id").rowsBetween(Window.unboundedPreceding, 0))
-    t = s.select("cl_id", "nt", run.alias("run"), F.sum("nt").over(Window.partitionBy()).alias("total"))
-    return t.select("cl_id", F.expr("(run - nt) div (total div 4 + 1)").alias("batch"), F.expr("(run - nt) div (total div 4 + 1) div 2").alias("merged_batch"))
+    return reads.running_batches(s, "cl_id", "nt", 4).select("cl_id", "batch", F.expr("batch div 2").alias("merged_batch"))
 
 
 EV = "WITH v AS (SELECT CAST(event_id AS VARCHAR) AS read, user_id AS chrom, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + value::BIGINT * 1000 AS e FROM events)"

@@ -127,6 +127,63 @@ def test_clusters_separate_templates(spark):
     assert max(kernels.highest_identity(found[0].seq, t) for t in templates) > 0.98
 
 
+def test_batches_restart_their_total(spark):
+    made = spark.createDataFrame([(i, 6) for i in range(4)], "k long, nt long")
+    assert [r.batch for r in reads.running_batches(made, "k", "nt", 4).orderBy("k").collect()] == [0, 0, 1, 1]
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 50) for _ in range(60)]
+    rows = sorted(((-n, i) for i, n in enumerate(sizes)))
+    chunk, held, batch, want = sum(sizes) // 5 + 1, 0, 0, {}
+    for n, i in rows:
+        want[i], held = batch, held - n
+        if held >= chunk:
+            batch, held = batch + 1, 0
+    got = reads.running_batches(spark.createDataFrame(list(enumerate(sizes)), "k long, nt long"), "k", "nt", 5)
+    assert {r.k: r.batch for r in got.collect()} == want
+    assert reads.running_batches(made.limit(0), "k", "nt", 4).count() == 0
+
+
+def test_trim_cuts_at_the_last_base_of_the_head_primer():
+    rng = random.Random(5)
+    body, primer = "".join(rng.choices("ACGT", k=400)), "ACGTTGCATGCCTAGA"
+    assert leader.trim("TTGG" + primer + body + kernels.reverse_complement(primer) + "CC", [primer], leader.Params()) == primer[-1] + body
+    assert leader.trim(body, [primer], leader.Params()) == body
+
+
+def test_run_from_files_to_consensus(spark, tmp_path):
+    from ampspark.plans import run
+
+    rng = random.Random(17)
+    primer = "ACGTTGCATGCCTAGA"
+    templates = ["".join(rng.choices("ACGT", k=300)) for _ in range(2)]
+    rows = []
+    for i in range(24):
+        t = primer + "".join(c if rng.random() > 0.01 else rng.choice("ACGT") for c in templates[i % 3 == 0])
+        rows.append(f"@r{i} tail\n{t}\n+\n{''.join(rng.choices('56789', k=len(t)))}\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fastq").write_text("".join(rows))
+    (tmp_path / "p.fa").write_text(f">p1\n{primer}\n")
+    out = str(tmp_path / "out")
+    got = run.run(spark, str(tmp_path / "in"), out, run.Run(primers=str(tmp_path / "p.fa"), m=316, s=20))
+    ids = [r.read_id for r in got["reads"].orderBy(F.desc("score"), "file", "ordinal").collect()]
+    assert ids == list(range(24))
+    lines = [r.value.split("\t") for r in spark.read.text(f"{out}/final_clusters").collect()]
+    assert sorted(x for x, _ in lines) == ["0"] * 16 + ["1"] * 8
+    assert {a: int(a[1:].split()[0]) % 3 == 0 for x, a in lines if x == "1"} == {a: True for x, a in lines if x == "1"}
+    fasta = "\n".join(r.value for r in spark.read.text(f"{out}/consensus_reference").collect())
+    assert {int(n) for n in __import__("re").findall(r"reads_(\d+)", fasta)} == {16, 8}
+    for c in got["centers"].collect():
+        assert max(kernels.highest_identity(c.seq, t) for t in templates) > 0.98 and not c.seq.startswith(primer)
+    assert spark.read.text(f"{out}/reads_to_consensus").count() == 4 * 24
+    again = run.run(spark, str(tmp_path / "in"), out, run.Run(reuse_sorted=True, sample_size=5, top_reads=True))
+    assert {r.read_id for r in again["reads"].collect()} == set(range(5))
+    for bad in ({"m": 3}, {"primers": "x", "tails": ("A",)}):
+        with pytest.raises(ValueError):
+            run.Run(**bad)
+    with pytest.raises(NotImplementedError):
+        run.Run(polisher="neural")
+
+
 def test_no_reads(spark):
     empty = spark.createDataFrame([], "read_id long, acc string, seq string, qual string, sample string")
     scored = reads.scored(empty, 13, 7.0)
