@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ampspark.llm.common import blocks, crc_mod, stored, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
-COMMON = 1 << 14
+COMMON = 1 << 16
 BASE = 1.5
 PROBES = 4
 SHALLOW = 3  # levels that are probed for every n-gram of a text; deeper ones once for equal n-grams
