@@ -15,18 +15,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for white space stays: the smallest id, null ids last; null texts are equal to empty ones; an empty table stays empty."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies stays: the smallest id, null ids last; texts without words all stay, as do all columns; an empty table stays empty."""
     return dart_minhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's rate says, at most three times; a null source is one of its own; equal ids are drawn alike; an empty table stays empty."""
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's ids (of null texts: the final id alone) in sequences; only the columns of the pieces are returned; an empty table gives no rows."""
     return packing.packed(docs, tokenizer_path())
 
 
