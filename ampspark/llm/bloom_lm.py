@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampspark.llm.common import blocks, crc_mod, stored, text_or_empty
+from ampspark.llm.common import Scratch, blocks, crc_mod, shuffles_freed, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 COMMON = 1 << 16
@@ -49,8 +50,11 @@ CHUNK_BITS = 1 << 18
 MAX_FILTER_MB = 256
 DISCOUNT = 0.6
 MEMO = 300_000
-FLUSH = 400_000
-BLOCK = 256
+FLUSH = 1_500_000
+PART_CHARS = 8_000_000  # counts of so much text meet in one part
+BLOCK = 1024
+ROUNDS = 4
+PART_CHUNKS = 64
 END = b"\n"  # no word can be this
 U = np.uint64
 
@@ -80,49 +84,82 @@ def hashes_of(text: str, memo: Hashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
 
 
-class _Sums:
-    """Counts of keys (one or two columns) in blocks, summed as long as memory allows."""
-
-    def __init__(self, key) -> None:
-        self.key, self.parts, self.held = key, [], 0
-
-    def add(self, *columns: np.ndarray) -> pd.DataFrame | None:
-        _, first, n = np.unique(self.key(*columns), return_index=True, return_counts=True)
-        self.parts.append((*[c[first] for c in columns], n))
-        self.held += len(first)
-        if self.held <= 2 * FLUSH:
-            return None
-        self.parts = [self._summed()]
-        self.held = len(self.parts[0][0])
-        return self.take() if self.held > FLUSH else None
-
-    def _summed(self) -> tuple[np.ndarray, ...]:
-        *columns, n = map(np.concatenate, zip(*self.parts))
-        _, first, inverse = np.unique(self.key(*columns), return_index=True, return_inverse=True)
-        return (*[c[first] for c in columns], np.bincount(inverse, n).astype(np.int64))
-
-    def take(self) -> pd.DataFrame | None:
-        out = self._summed() if self.parts else None
-        self.parts, self.held = [], 0
-        if out is None:
-            return None
-        return pd.DataFrame({"word": len(out) == 2, "a": out[0] if len(out) == 3 else 0, "b": out[-2], "n": out[-1]})
-
-
-def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas function: text -> (word, a, b, n): the counts of its words (a 0) and of its bigrams; the end precedes the first word."""
-    memo = Hashes()
-    words, pairs = _Sums(lambda b: b), _Sums(pair_key)
-    for batch in batches:
-        for first, end in blocks(batch["text"].str.len().tolist()):
-            texts = [hashes_of(t, memo) for t in batch["text"].iloc[first:end]]
-            before, flat = np.concatenate([np.roll(h, 1) for h in texts]), np.concatenate(texts)
-            for got in (words.add(flat), pairs.add(before, flat)):
-                if got is not None:
-                    yield got
-    for got in (words.take(), pairs.take()):
-        if got is not None:
-            yield got
+def _summed(key: np.ndarray, columns: tuple[np.ndarray, ...], n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, their columns and the sums of n (1 each where there is none)."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    if n is None:
+        n = np.diff(first, append=len(key))
+    else:
+        n = np.add.reduceat(n[order], first) if len(first) else n
+    return key[first], *[c[order[first]] for c in columns], n
+
+
+def _part_key(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """A bigram's part (``bits`` of its key), 20 bits of its first word and the rest of the key: bigrams of a word lie together in a part."""
+    key = pair_key(first, second).view(np.uint64)
+    word, rest = mix(first.astype(np.uint64)) >> U(44), U((1 << (44 - bits)) - 1)
+    return (key & ~U((1 << (64 - bits)) - 1)) | (word << U(44 - bits)) | (key & rest)
+
+
+def _parted(word: bool, bits: int, key: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """One row for each part that has keys: the columns' bytes in a row."""
+    part = (key >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+    at = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 30))
+    blobs = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(at, at[1:])]
+    return pd.DataFrame({"part": part[at[:-1]], "word": word, "body": blobs})
+
+
+def _counter(bits: int):
+    """mapInPandas function: text -> (part, word, body): counts of its words and of its bigrams, FLUSH tokens at a time; the end precedes the first word."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Hashes()
+        held, n = [], 0
+        for batch in batches:
+            for first, end in blocks(batch["text"].str.len().tolist()):
+                held.extend(hashes_of(t, memo) for t in batch["text"].iloc[first:end])
+                n += sum(map(len, held[first - end :]))
+                if n >= FLUSH:
+                    yield from flushed(held)
+                    held, n = [], 0
+        if held:
+            yield from flushed(held)
+
+    def flushed(texts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        flat = np.concatenate(texts)
+        before = np.concatenate((flat[-1:], flat[:-1]))  # every text ends with the end
+        key, n = _summed(flat.view(np.uint64), ())
+        yield _parted(True, bits, key, key, n.astype(np.uint32))
+        key, a, b, n = _summed(_part_key(before, flat, bits), (before, flat))
+        yield _parted(False, bits, key, a, b, n.astype(np.uint32))
+
+    return count
+
+
+def _counted(bits: int):
+    """applyInPandas function: the bodies of a part -> (word, a, b, n): words (a 0), and bigrams seen twice or more."""
+
+    def columns(bodies: pd.Series, width: int) -> list[np.ndarray]:
+        rows = [len(x) // (8 * width + 4) for x in bodies]
+        found = [np.concatenate([np.frombuffer(x, np.int64, n, 8 * n * i) for x, n in zip(bodies, rows)]) for i in range(width)]
+        return [*found, np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n * width) for x, n in zip(bodies, rows)]).astype(np.int64)]
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if part["word"].any():
+            key, n = columns(part["body"][part["word"]], 1)
+            key, n = _summed(key, (), n)
+            out.append(pd.DataFrame({"word": True, "a": 0, "b": key, "n": n}))
+        if not part["word"].all():
+            a, b, n = columns(part["body"][~part["word"]], 2)
+            _, a, b, n = _summed(_part_key(a, b, bits), (a, b), n)
+            more = n > 1
+            out.append(pd.DataFrame({"word": False, "a": a[more], "b": b[more], "n": n[more]}))
+        return pd.concat(out)
+
+    return count
 
 
 class Common:
@@ -371,45 +408,75 @@ class Scorer:
         return np.log10(np.minimum(1.0, p))
 
 
-def _joined(ready: DataFrame, chunks: int, made: DataFrame, scorer, score, schema: str) -> DataFrame:
-    """Scores with a filter too large to broadcast: its chunks meet each block's distinct keys, a common key once a block."""
+def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, scorer, score, schema: str) -> DataFrame:
+    """Scores with a filter too large to broadcast.  Each block of documents sends its distinct keys to the parts of the filter and
+    gets back those found, with a byte for the level.  This is done in ROUNDS, so that only a share of keys and texts is on disk at a time."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for block, part in batch.groupby("block"):
-                keys = Tokens(part["text"], Words()).keys()
-                yield pd.DataFrame({"block": block, "key": keys, "chunk": _chunk(keys, chunks).astype(np.int32)})
-
-    def probe(asked: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(chunk):
-            return pd.DataFrame({"block": [], "key": [], "level": []}).astype("int64")
-        filled = np.frombuffer(chunk["bits"].iloc[0], np.uint8)
-        level = _levels(filled, asked["key"].to_numpy(), np.zeros(len(asked), np.int64))
-        return asked[["block", "key"]].assign(level=level)[level > 0]
+            for block, rows in batch.groupby("block"):
+                texts = rows["text"]
+                keys = np.unique(np.concatenate([Tokens(texts.iloc[i:j], Words()).keys() for i, j in blocks(texts.str.len().tolist())]))
+                part = _chunk(keys, chunks) // PART_CHUNKS
+                order = np.argsort(part, kind="stable")
+                keys, part = keys[order], part[order]
+                at = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 40))
+                yield pd.DataFrame({"block": block, "part": part[at[:-1]], "keys": [keys[i:j].tobytes() for i, j in zip(at, at[1:])]})
+
+    def probe(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"block": [], "keys": [], "levels": []})
+        first, size = int(rows["part"].iloc[0]) * PART_CHUNKS, CHUNK_BITS // 8
+        filled = np.zeros(PART_CHUNKS * size, np.uint8)
+        for chunk, bits in zip(own["chunk"], own["bits"]):
+            filled[(chunk - first) * size : (chunk - first + 1) * size] = np.frombuffer(bits, np.uint8)
+        found = []
+        for body in rows["keys"]:
+            key = np.frombuffer(body, np.int64)
+            level = _levels(filled, key, (_chunk(key, chunks) - first) * CHUNK_BITS)
+            found.append((key[level > 0].tobytes(), level[level > 0].astype(np.uint8).tobytes()))
+        return pd.DataFrame({"block": rows["block"].to_numpy(), "keys": [k for k, _ in found], "levels": [x for _, x in found]})
 
     def answer(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        found, words = found.drop_duplicates("key"), Words()
-        return score(part, Tokens(part["text"], words), scorer(Found(found["key"].to_numpy(), found["level"].to_numpy())))
-
-    blocks = ready.withColumn("block", F.shiftright("uid", BLOCK.bit_length() - 1))
-    asked = blocks.select("block", "text").mapInPandas(ask, "block long, key long, chunk int")
-    found = asked.groupBy("chunk").cogroup(made.groupBy("chunk")).applyInPandas(probe, "block long, key long, level long")
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(answer, schema)
+        counts = Found(np.frombuffer(b"".join(found["keys"]), np.int64), np.frombuffer(b"".join(found["levels"]), np.uint8))
+        rows = [part.iloc[i:j] for i, j in blocks(part["text"].str.len().tolist())]
+        return pd.concat([score(r, Tokens(r["text"], Words()), scorer(counts)) for r in rows])
+
+    texts = scratch.put(ready.withColumn("block", F.shiftright("uid", BLOCK.bit_length() - 1)), "texts")
+    filled = made.withColumn("part", F.floor(F.col("chunk") / PART_CHUNKS).cast("int"))
+    # uid starts with the number of the row's partition.
+    partitions = (texts.agg(F.max("uid")).first()[0] or 0) // (1 << 33) + 1
+    bounds = sorted({i * partitions // ROUNDS for i in range(ROUNDS + 1)})
+    done = []
+    for first, end in zip(bounds, bounds[1:]):
+        some = texts.where(F.col("uid") >= F.lit(first << 33)).where(F.col("uid") < F.lit(end << 33))
+        keys = some.select("block", "text").mapInPandas(ask, "block long, part int, keys binary")
+        levels = keys.groupBy("part").cogroup(filled.groupBy("part")).applyInPandas(probe, "block long, keys binary, levels binary")
+        done.append(scratch.put(some.groupBy("block").cogroup(levels.groupBy("block")).applyInPandas(answer, schema), "scores"))
+    scratch.drop(texts)
+    return reduce(DataFrame.unionByName, done)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document."""
+    with shuffles_freed(docs.sparkSession):
+        return _scored(docs, Scratch(docs.sparkSession))
+
+
+def _scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text"), (crc_mod(FOLDS) == HELD_OUT).alias("held_out"))
     train = rows.where("not held_out").select("text")
     # One pass over the texts; bigrams seen once are in no item of the filter, and their count is what R leaves.
-    counts = train.mapInPandas(_counter, "word boolean, a long, b long, n long").groupBy("word", "a", "b").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where("word or n > 1"), "counts")
+    chars = train.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = (chars // PART_CHARS).bit_length()
+    counts = train.mapInPandas(_counter(bits), "part int, word boolean, body binary").groupBy("part")
+    counts = scratch.put(counts.applyInPandas(_counted(bits), "word boolean, a long, b long, n long"), "counts")
     words, pairs = counts.where("word").select(F.col("b").alias("key"), "n"), counts.where("not word").select("a", "b", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count("key").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     after = pairs.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("followers"), F.sum("n").alias("taken"), F.sum(read_back(F.col("n"))).alias("held"))
-    after = stored(after.join(words, "key").select("key", "followers", "held", (F.col("n") - F.col("taken")).alias("rest")), "followers")
+    after = scratch.put(after.join(words, "key").select("key", "followers", "held", (F.col("n") - F.col("taken")).alias("rest")), "followers")
     top = words.orderBy(F.desc("n"), "key").limit(COMMON).join(after, "key", "left")
     # At most COMMON rows; without stored bigrams a word leaves all of its count.
     rest = F.coalesce("rest", "n")
@@ -437,6 +504,7 @@ def scored(docs: DataFrame) -> DataFrame:
         .unionByName(after.where("rest > 0").select(as_rest("key").alias("key"), F.col("rest").alias("n")))
     )
     chunks, made = filter_chunks(items)
+    made = scratch.put(made, "filter")
     # Plain arrays: workers need not have this package.
     known_words = spark.sparkContext.broadcast(common)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, common_tokens long, base double, score double, rare array<long>"
@@ -474,10 +542,10 @@ def scored(docs: DataFrame) -> DataFrame:
                     part = batch.iloc[first:end]
                     yield score(part, Tokens(part["text"], words), m)
 
-        scores = ready.mapInPandas(score_all, schema)
+        done = scratch.put(ready.mapInPandas(score_all, schema), "scores")
     else:
-        scores = _joined(stored(ready, "texts"), chunks, stored(made, "filter"), scorer, score, schema)
-    done = stored(scores, "scores")
+        done = _joined(scratch, ready, chunks, made, scorer, score, schema)
+    scratch.drop(after, made)
     rest = done.select("uid", F.explode("rare").alias("key")).join(words, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     exact = rest.groupBy("uid").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("more")

@@ -6,8 +6,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -531,6 +533,42 @@ def test_bloom_lm_large_filter_is_joined(spark, docs, none, monkeypatch):
     assert bloom_lm.scored(none).count() == 0
 
 
+def _written(spark):
+    """Records and bytes that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = store.stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(x.shuffleWriteRecords() for x in stages), sum(x.shuffleWriteBytes() for x in stages)
+
+
+def _shuffle_bytes(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data") if f.exists())
+
+
+def test_bloom_lm_large_filter_leaves_little_on_disk(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 50_000}" for _ in range(200))) for i in range(600)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    made.count()
+    monkeypatch.setattr(bloom_lm, "MAX_FILTER_MB", 0)
+    shared = Path(common.shared_dir(spark)) / "ampspark"
+    tables = set(shared.glob("*"))
+    records, on_disk = _written(spark)[0], _shuffle_bytes(spark)
+    assert bloom_lm.scored(made).count() == 600
+    # Keys and counts travel as the bytes of a block or part: far fewer records than one a token and one a key.
+    assert _written(spark)[0] - records < 30_000
+    # Texts, filter and followers are gone; shuffles go with their query (in the background).
+    assert {p.name.split("-")[0] for p in set(shared.glob("*")) - tables} <= {"counts", "scores"}
+    for _ in range(50):
+        left = _shuffle_bytes(spark) - on_disk
+        if left < 500_000:
+            break
+        time.sleep(0.2)
+    assert left < 500_000
+
+
 def test_counts_are_read_back_from_the_filter(spark):
     made = spark.range(3000).select(F.xxhash64("id").alias("key"), (F.col("id") % 50 + 1).alias("n"))
     filled = bloom_lm.built_filter(made)
