@@ -28,9 +28,8 @@ An empty table gives no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -44,44 +43,77 @@ FOLDS, HELD_OUT = 5, 1
 COMMON = 1 << 16
 BASE = 1.5
 PROBES = 4
-SHALLOW = 3  # levels that are probed for every n-gram of a text; deeper ones once for equal n-grams
 BITS = 10
 CHUNK_BITS = 1 << 18
 MAX_FILTER_MB = 256
 DISCOUNT = 0.6
-MEMO = 300_000
 FLUSH = 1_500_000
 PART_CHARS = 8_000_000  # counts of so much text meet in one part
+SCORE_CHARS = 3_000_000
+SLICE = 1 << 20
 BLOCK = 1024
 ROUNDS = 4
 PART_CHUNKS = 64
-END = b"\n"  # no word can be this
+END = xxhash.xxh64_intdigest(b"\n") - (1 << 64)  # no word can be this
 U = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Hashes(dict):
-    """Word -> signed 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        h -= (h >> 63) << 64
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h
-        return h
-
-
-def hashes_of(text: str, memo: Hashes) -> np.ndarray:
-    """Hashes of the text's tokens with the end."""
-    tokens = text.encode("utf-8", "replace").lower().split()
-    tokens.append(END)
-    return np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+@cache
+def _hashing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, 0 for white space; the powers of an odd base, and of its inverse modulo 2**64."""
+    letters = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+    letters[list(b" \t\n\v\f\r")] = 0
+    base = 0x9E3779B97F4A7C15  # 5 modulo 8: differences of its powers are divisible by low powers of 2 only
+    powers = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(SLICE, b, np.uint64)
+        x[0] = 1
+        powers.append(np.multiply.accumulate(x))
+    return letters, *powers
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start, and their signed 64-bit hashes: sums of letter * base**place, mixed."""
+    letters, powers, inverse = _hashing()
+    solid = np.zeros(len(raw) + 2, bool)
+    solid[1:-1] = (letters != 0)[raw]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + SLICE, "right")))
+        if ends[j - 1] - low > SLICE:  # one word
+            out[i] = xxhash.xxh64_intdigest(raw[low : ends[i]].tobytes())
+        else:
+            x = letters[raw[low : ends[j - 1]]]
+            x *= powers[: len(x)]
+            at = starts[i:j] - low
+            out[i:j] = mix(np.add.reduceat(x, at) * inverse[at])
+        i = j
+    return starts, out.view(np.int64)
+
+
+def hashes_of(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts (one at least) in a row, each text's with the end, and how many each has."""
+    encoded = [t.encode("utf-8", "replace").lower() for t in texts]
+    starts, words = _words(np.frombuffer(b"\n".join(encoded), np.uint8))
+    lengths = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in encoded])), prepend=0) + 1
+    flat = np.full(len(words) + len(encoded), END)
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    flat[inside] = words
+    return flat, lengths
 
 
 def _summed(key: np.ndarray, columns: tuple[np.ndarray, ...], n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -115,12 +147,11 @@ def _counter(bits: int):
     """mapInPandas function: text -> (part, word, body): counts of its words and of its bigrams, FLUSH tokens at a time; the end precedes the first word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Hashes()
         held, n = [], 0
         for batch in batches:
             for first, end in blocks(batch["text"].str.len().tolist()):
-                held.extend(hashes_of(t, memo) for t in batch["text"].iloc[first:end])
-                n += sum(map(len, held[first - end :]))
+                held.append(hashes_of(batch["text"].iloc[first:end])[0])
+                n += len(held[-1])
                 if n >= FLUSH:
                     yield from flushed(held)
                     held, n = [], 0
@@ -210,12 +241,12 @@ def _chunk(key: np.ndarray, chunks: int) -> np.ndarray:
     return (mix(key.astype(np.uint64) ^ U(0xA0761D6478BD642F)) % U(chunks)).astype(np.int64)
 
 
-def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray, start: int = 0, stop: int = 1 << 30) -> np.ndarray:
-    """Levels read from the bytes of a filter, ``stop`` at most; ``base`` is the first bit of each key's chunk; all have level ``start``."""
-    level = np.full(len(key), start, np.int64)
+def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Levels read from the bytes of a filter; ``base`` is the first bit of each key's chunk."""
+    level = np.zeros(len(key), np.int64)
     live = np.arange(len(key))
-    n = start
-    while len(live) and n < stop:
+    n = 0
+    while len(live):
         n += 1
         h, step = _steps(key[live], n)
         for i in range(PROBES):
@@ -227,33 +258,13 @@ def _levels(filled: np.ndarray, key: np.ndarray, base: np.ndarray, start: int =
 
 
 class Filter:
-    """All chunks in a row; ``level`` reads counts back by repeated probes, those of frequent n-grams once."""
+    """All chunks in a row; ``level`` reads counts back by repeated probes."""
 
     def __init__(self, chunks: int, filled: np.ndarray) -> None:
         self.chunks, self.bytes = chunks, filled
-        self.keys, self.levels = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def level(self, key: np.ndarray) -> np.ndarray:
-        base = _chunk(key, self.chunks) * CHUNK_BITS
-        level = _levels(self.bytes, key, base, stop=SHALLOW)
-        deep = np.flatnonzero(level == SHALLOW)
-        if not len(deep):
-            return level
-        at = np.minimum(np.searchsorted(self.keys, key[deep]), len(self.keys) - 1)
-        new = deep[self.keys[at] != key[deep]]
-        if len(new):
-            keys, first = np.unique(key[new], return_index=True)
-            known = len(self.keys) <= MEMO
-            keys = np.concatenate((self.keys if known else self.keys[:0], keys))
-            found = _levels(self.bytes, key[new[first]], base[new[first]], start=SHALLOW)
-            levels = np.concatenate((self.levels if known else self.levels[:0], found))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.levels = keys[order], levels[order]
-            if not known:
-                return _levels(self.bytes, key, base)
-            at = np.searchsorted(self.keys, key[deep])
-        level[deep] = self.levels[at]
-        return level
+        return _levels(self.bytes, key, _chunk(key, self.chunks) * CHUNK_BITS)
 
 
 class Found:
@@ -319,96 +330,67 @@ def rest_key(word: np.ndarray) -> np.ndarray:
     return mix(word.astype(np.uint64) ^ U(0xA5A3564E27F88691)).view(np.int64)
 
 
-class Words(dict):
-    """Word -> its number, given as words appear; ``hashes`` by number."""
-
-    def __init__(self) -> None:
-        self.hashes = array("q")
-        self.end = self[END]
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        self.hashes.append(h - ((h >> 63) << 64))
-        self[word] = n = len(self)
-        return n
-
-    def of(self, text: str) -> np.ndarray:
-        """Numbers of the text's tokens with the end."""
-        tokens = text.encode("utf-8", "replace").lower().split()
-        tokens.append(END)
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-
-
 class Tokens:
-    """Texts in a row: word numbers, those before them (the end before the first), and where the texts start."""
-
-    def __init__(self, texts: Iterable[str], words: Words) -> None:
-        numbers = [words.of(t) for t in texts]
-        self.words = words
-        self.lengths = np.array([len(t) for t in numbers])
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.flat = np.concatenate(numbers)
-        self.before = np.roll(self.flat, 1)
-        self.before[self.starts] = words.end
-
-    def keys(self) -> np.ndarray:
+    """Texts in a row by their distinct words and bigrams (the end comes before the first word), and where the texts start."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        self.flat, self.lengths = hashes_of(texts)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words, self.at = np.unique(self.flat, return_inverse=True)
+        # Every text ends with the end.
+        before = np.concatenate((self.at[-1:], self.at[:-1]))
+        pairs, self.pair = np.unique(before * len(self.words) + self.at, return_inverse=True)
+        self.first, self.second = np.divmod(pairs, len(self.words))
+
+    def keys(self, common: Common) -> np.ndarray:
         """All filter keys that a score of these texts can ask for."""
-        words = np.array(self.words.hashes)
-        return np.unique(np.concatenate((words, followers_key(words), rest_key(words), pair_key(words[self.before], words[self.flat]))))
+        rare = self.words[common.ids(self.words) < 0]
+        return np.unique(np.concatenate((rare, followers_key(rare), rest_key(rare), pair_key(self.words[self.first], self.words[self.second]))))
 
 
 class Scorer:
-    """log10 probabilities from the common words and a filter, with what it knows of every word by number.
+    """log10 probabilities from the common words and a filter.
 
     ``n`` tokens and ``v`` distinct ones were learned; ``m`` is the sum of all counts as they are read back.
     """
 
-    COLUMNS = ("hash", "known", "base", "followed", "followers", "unigram", "whole", "left")
-
     def __init__(self, common: Common, n: int, m: float, v: int, counts: Filter | Found) -> None:
         self.common, self.n, self.m, self.v, self.counts = common, n, m, v, counts
-        self.table = {c: np.zeros(0, np.int64 if c == "hash" else bool if c in ("known", "followed") else np.float64) for c in self.COLUMNS}
-
-    def learn(self, words: Words) -> None:
-        """Adds the words that are new."""
-        new = np.array(words.hashes[len(self.table["hash"]) :], np.int64)
-        if len(new):
-            more = self._facts(new)
-            self.table = {c: np.concatenate((x, more[c])) for c, x in self.table.items()}
-
-    def _facts(self, words: np.ndarray) -> dict[str, np.ndarray]:
-        level = self.counts.level(words)
-        c = count_of(level)
-        # A stored bigram was seen twice, and so were its words: levels are never too low.
-        followed = level > 1
+
+    def facts(self, words: np.ndarray) -> dict[str, np.ndarray]:
         ids = self.common.ids(words)
-        known, ask = ids >= 0, followed & (ids < 0)
-        base, left, followers, rest = np.zeros(len(words)), np.ones(len(words)), np.zeros(len(words)), np.zeros(len(words))
+        known, rare = ids >= 0, np.flatnonzero(ids < 0)
+        c, base, left, followers, rest = np.zeros(len(words)), np.zeros(len(words)), np.ones(len(words)), np.zeros(len(words)), np.zeros(len(words))
         at = ids[known]
         c[known] = self.common.counts[at]
+        # A stored bigram was seen twice, and so were its words: levels are never too low.
+        followed = c > 1
+        level = self.counts.level(words[rare])
+        c[rare], followed[rare] = count_of(level), level > 1
         base[known] = np.log10((c[known] + 0.5) / (self.n + 0.5 * (self.v + 1)))
         whole = c.copy()
         whole[known], followers[known], rest[known] = self.common.whole[at], self.common.followers[at], self.common.rest[at]
+        ask = rare[level > 1]
         followers[ask] = count_of(self.counts.level(followers_key(words[ask])))
-        some = ask & (followers > 0)
+        some = ask[followers[ask] > 0]
         rest[some] = count_of(self.counts.level(rest_key(words[some])))
         some = (followers > 0) & (whole > 0)
         left[some] = np.clip((rest[some] + DISCOUNT * followers[some]) / whole[some], 1e-3, 1.0)
         unigram = (c + 0.5) / (self.m + 0.5 * (self.v + 1))
-        return dict(zip(self.COLUMNS, (words, known, base, followed, followers, unigram, np.maximum(whole, 1), left)))
+        return {"known": known, "base": base, "followed": followed, "followers": followers, "unigram": unigram, "whole": np.maximum(whole, 1), "left": left}
 
-    def token_scores(self, t: Tokens) -> np.ndarray:
-        x = self.table
-        both = np.flatnonzero((x["followed"] & (x["followers"] > 0))[t.before] & x["followed"][t.flat])
-        p = x["left"][t.before] * x["unigram"][t.flat]
+    def pair_scores(self, t: Tokens, x: dict[str, np.ndarray]) -> np.ndarray:
+        """One for each distinct bigram."""
+        p = x["left"][t.first] * x["unigram"][t.second]
+        both = np.flatnonzero((x["followed"] & (x["followers"] > 0))[t.first] & x["followed"][t.second])
         if len(both):
-            v = t.before[both]
-            level = self.counts.level(pair_key(x["hash"][v], x["hash"][t.flat[both]]))
+            v = t.first[both]
+            level = self.counts.level(pair_key(t.words[v], t.words[t.second[both]]))
             p[both] += np.maximum(count_of(level) - DISCOUNT, 0) / x["whole"][v]
         return np.log10(np.minimum(1.0, p))
 
 
-def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, scorer, score, schema: str) -> DataFrame:
+def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, common, score, schema: str) -> DataFrame:
     """Scores with a filter too large to broadcast.  Each block of documents sends its distinct keys to the parts of the filter and
     gets back those found, with a byte for the level.  This is done in ROUNDS, so that only a share of keys and texts is on disk at a time."""
 
@@ -416,7 +398,8 @@ def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, sc
         for batch in batches:
             for block, rows in batch.groupby("block"):
                 texts = rows["text"]
-                keys = np.unique(np.concatenate([Tokens(texts.iloc[i:j], Words()).keys() for i, j in blocks(texts.str.len().tolist())]))
+                known = Common(*common.value)
+                keys = np.unique(np.concatenate([Tokens(texts.iloc[i:j]).keys(known) for i, j in blocks(texts.str.len().tolist(), SCORE_CHARS)]))
                 part = _chunk(keys, chunks) // PART_CHUNKS
                 order = np.argsort(part, kind="stable")
                 keys, part = keys[order], part[order]
@@ -439,8 +422,7 @@ def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, sc
 
     def answer(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         counts = Found(np.frombuffer(b"".join(found["keys"]), np.int64), np.frombuffer(b"".join(found["levels"]), np.uint8))
-        rows = [part.iloc[i:j] for i, j in blocks(part["text"].str.len().tolist())]
-        return pd.concat([score(r, Tokens(r["text"], Words()), scorer(counts)) for r in rows])
+        return pd.concat([score(part.iloc[i:j], counts) for i, j in blocks(part["text"].str.len().tolist(), SCORE_CHARS)])
 
     texts = scratch.put(ready.withColumn("block", F.shiftright("uid", BLOCK.bit_length() - 1)), "texts")
     filled = made.withColumn("part", F.floor(F.col("chunk") / PART_CHUNKS).cast("int"))
@@ -509,23 +491,22 @@ def _scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
     known_words = spark.sparkContext.broadcast(common)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, common_tokens long, base double, score double, rare array<long>"
 
-    def scorer(counts: Filter | Found) -> Scorer:
-        return Scorer(Common(*known_words.value), n, m_all, v, counts)
-
-    def score(part: pd.DataFrame, tokens: Tokens, m: Scorer) -> pd.DataFrame:
-        m.learn(tokens.words)
-        known = m.table["known"][tokens.flat]
-        hashes = m.table["hash"][tokens.flat]
+    def score(part: pd.DataFrame, counts: Filter | Found) -> pd.DataFrame:
+        t, m = Tokens(part["text"]), Scorer(Common(*known_words.value), n, m_all, v, counts)
+        x = m.facts(t.words)
+        known = x["known"][t.at]
+        rare, common_tokens = t.flat[~known], np.add.reduceat(known.astype(np.int64), t.starts)
+        ends = np.cumsum(t.lengths - common_tokens)
         return pd.DataFrame(
             {
                 "uid": part["uid"].to_numpy(),
                 "doc_id": part["doc_id"].astype("Int64"),
                 "held_out": part["held_out"].to_numpy(),
-                "n_tokens": tokens.lengths,
-                "common_tokens": np.add.reduceat(known.astype(np.int64), tokens.starts),
-                "base": np.add.reduceat(m.table["base"][tokens.flat], tokens.starts),
-                "score": np.add.reduceat(m.token_scores(tokens), tokens.starts),
-                "rare": [hashes[s : s + k][~known[s : s + k]] for s, k in zip(tokens.starts, tokens.lengths)],
+                "n_tokens": t.lengths,
+                "common_tokens": common_tokens,
+                "base": np.add.reduceat(x["base"][t.at], t.starts),
+                "score": np.add.reduceat(m.pair_scores(t, x)[t.pair], t.starts),
+                "rare": [rare[i:j] for i, j in zip(np.concatenate(([0], ends)), ends)],
             }
         )
 
@@ -534,17 +515,14 @@ def _scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
         model = spark.sparkContext.broadcast(gathered(chunks, made))
 
         def score_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, m = Words(), None
+            counts = Filter(chunks, model.value)
             for batch in batches:
-                for first, end in blocks(batch["text"].str.len().tolist()):
-                    if m is None or len(words) > MEMO:
-                        words, m = Words(), scorer(Filter(chunks, model.value))
-                    part = batch.iloc[first:end]
-                    yield score(part, Tokens(part["text"], words), m)
+                for first, end in blocks(batch["text"].str.len().tolist(), SCORE_CHARS):
+                    yield score(batch.iloc[first:end], counts)
 
         done = scratch.put(ready.mapInPandas(score_all, schema), "scores")
     else:
-        done = _joined(scratch, ready, chunks, made, scorer, score, schema)
+        done = _joined(scratch, ready, chunks, made, known_words, score, schema)
     scratch.drop(after, made)
     rest = done.select("uid", F.explode("rare").alias("key")).join(words, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     exact = rest.groupBy("uid").agg(

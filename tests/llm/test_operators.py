@@ -569,6 +569,34 @@ def test_bloom_lm_large_filter_leaves_little_on_disk(spark, monkeypatch):
     assert left < 500_000
 
 
+def test_bloom_lm_hashes_tell_words_apart():
+    size = bloom_lm.SLICE
+    rng = random.Random(4)
+    mixed = " ".join("".join(rng.choices("ab", k=rng.randrange(1, 9))) for _ in range(3000))
+    texts = ["", " \t ", "A b\x0ba\x1cc  x", "é \x85 ß İ", "\ud800 ?", mixed, "x" * (3 * size), "y x " + "x" * (3 * size) + " z", "ab " * size, "a" * (size - 1) + " " + "a" * size + "\n" + "a" * (size + 1)]
+    flat, lengths = bloom_lm.hashes_of(texts)
+    tokens = [[*t.encode("utf-8", "replace").lower().split(), b"\n"] for t in texts]
+    assert lengths.tolist() == [len(t) for t in tokens]
+    pairs = set(zip((w for t in tokens for w in t), flat.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert (np.concatenate([bloom_lm.hashes_of([t])[0] for t in texts]) == flat).all()
+
+
+def test_bloom_lm_probes_equal_bigrams_of_a_block_once():
+    asked = []
+
+    class Counts:
+        def level(self, key):
+            asked.append(len(key))
+            return np.full(len(key), 3)
+
+    nothing = np.zeros(0)
+    t = bloom_lm.Tokens(["to be or not " * 2000] * 3)
+    m = bloom_lm.Scorer(bloom_lm.Common(nothing.astype(np.int64), nothing, nothing, nothing, nothing), 10, 10.0, 5, Counts())
+    assert len(m.pair_scores(t, m.facts(t.words))) == 6  # the four in a ring, from and to the end
+    assert t.lengths.tolist() == [8001] * 3 and sum(asked) == 3 * 5 + 6
+
+
 def test_counts_are_read_back_from_the_filter(spark):
     made = spark.range(3000).select(F.xxhash64("id").alias("key"), (F.col("id") % 50 + 1).alias("n"))
     filled = bloom_lm.built_filter(made)
