@@ -342,10 +342,19 @@ class Tokens:
         pairs, self.pair = np.unique(before * len(self.words) + self.at, return_inverse=True)
         self.first, self.second = np.divmod(pairs, len(self.words))
 
-    def keys(self, common: Common) -> np.ndarray:
-        """All filter keys that a score of these texts can ask for."""
-        rare = self.words[common.ids(self.words) < 0]
-        return np.unique(np.concatenate((rare, followers_key(rare), rest_key(rare), pair_key(self.words[self.first], self.words[self.second]))))
+
+def asked_keys(texts: Iterable[str], common: Common) -> np.ndarray:
+    """All filter keys that a score of these texts can ask for."""
+
+    def distinct(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x)
+        return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+    flat, _ = hashes_of(texts)
+    words = distinct(flat)
+    rare = words[common.ids(words) < 0]
+    # Every text ends with the end.
+    return np.concatenate((rare, followers_key(rare), rest_key(rare), distinct(pair_key(np.concatenate((flat[-1:], flat[:-1])), flat))))
 
 
 class Scorer:
@@ -399,9 +408,10 @@ def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, co
             for block, rows in batch.groupby("block"):
                 texts = rows["text"]
                 known = Common(*common.value)
-                keys = np.unique(np.concatenate([Tokens(texts.iloc[i:j]).keys(known) for i, j in blocks(texts.str.len().tolist(), SCORE_CHARS)]))
+                # A key may come again in another part of a long block.
+                keys = np.concatenate([asked_keys(texts.iloc[i:j], known) for i, j in blocks(texts.str.len().tolist(), SCORE_CHARS)])
                 part = _chunk(keys, chunks) // PART_CHUNKS
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part)
                 keys, part = keys[order], part[order]
                 at = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 40))
                 yield pd.DataFrame({"block": block, "part": part[at[:-1]], "keys": [keys[i:j].tobytes() for i, j in zip(at, at[1:])]})
