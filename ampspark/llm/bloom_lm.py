@@ -16,8 +16,8 @@ taken to be q(v)), so after a rare word, and where a probe is a false positive,
 of the logarithmic scale.  ``score`` is the sum of log10 p over the text's tokens.  ``base_score``
 uses the exact unigram counts.
 
-Bounds.  The filter takes BITS bits an item.  Up to MAX_FILTER_MB it is broadcast; a
-larger one stays distributed in its chunks, which the distinct keys of every block of
+Bounds.  The filter takes BITS bits an item.  Up to MAX_FILTER_MB it is broadcast, and
+the workers of a machine map the one file in which Spark keeps it there; a larger one stays distributed in its chunks, which the distinct keys of every block of
 documents meet in a join.  All counts of the corpus stay distributed: the words beyond
 the common ones meet their exact counts in a join on the word's hash.
 
@@ -28,12 +28,14 @@ An empty table gives no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import mmap
 from collections.abc import Iterable, Iterator
 from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ SLICE = 1 << 20
 BLOCK = 1024
 ROUNDS = 4
 PART_CHUNKS = 64
+MARK = b"ampspark: a filter's bytes follow"
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 64)  # no word can be this
 U = np.uint64
 
@@ -305,16 +308,31 @@ def filter_chunks(items: DataFrame) -> tuple[int, DataFrame]:
 
 
 def gathered(chunks: int, made: DataFrame) -> np.ndarray:
-    """The bytes of all chunks."""
-    filled, size = np.zeros(chunks * CHUNK_BITS // 8, np.uint8), CHUNK_BITS // 8
+    """MARK, then the bytes of all chunks."""
+    size = CHUNK_BITS // 8
+    filled = np.zeros(len(MARK) + chunks * size, np.uint8)
+    filled[: len(MARK)] = np.frombuffer(MARK, np.uint8)
     for r in made.toLocalIterator():
-        filled[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+        first = len(MARK) + r["chunk"] * size
+        filled[first : first + size] = np.frombuffer(r["bits"], np.uint8)
     return filled
 
 
+def mapped(model: Broadcast, chunks: int) -> np.ndarray:
+    """The bytes of all chunks on a worker, from Spark's file of the broadcast: it is one for the workers of a machine, and none holds a copy."""
+    path = getattr(model, "_path", None)  # none if Spark's files are encrypted
+    if path:
+        with open(path, "rb") as file:
+            pages = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        at = pages.find(MARK, 0, 4096)
+        if at >= 0:
+            return np.frombuffer(pages, np.uint8, chunks * CHUNK_BITS // 8, at + len(MARK))
+    return model.value[len(MARK) :]
+
+
 def built_filter(items: DataFrame) -> Filter:
     chunks, made = filter_chunks(items)
-    return Filter(chunks, gathered(chunks, made))
+    return Filter(chunks, gathered(chunks, made)[len(MARK) :])
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -525,7 +543,7 @@ def _scored(docs: DataFrame, scratch: Scratch) -> DataFrame:
         model = spark.sparkContext.broadcast(gathered(chunks, made))
 
         def score_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts = Filter(chunks, model.value)
+            counts = Filter(chunks, mapped(model, chunks))
             for batch in batches:
                 for first, end in blocks(batch["text"].str.len().tolist(), SCORE_CHARS):
                     yield score(batch.iloc[first:end], counts)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import mmap
 import random
 import re
 import time
+import types
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -533,6 +535,31 @@ def test_bloom_lm_large_filter_is_joined(spark, docs, none, monkeypatch):
     assert bloom_lm.scored(none).count() == 0
 
 
+def test_bloom_lm_workers_hold_no_copy_of_the_filter(spark, monkeypatch):
+    made = _bigram_rows(spark)[0].repartition(3).cache()
+    monkeypatch.setattr(bloom_lm, "COMMON", 4)
+    monkeypatch.setattr(bloom_lm, "BITS", 100_000)  # about 10 MB
+    want = Counter(str(r) for r in bloom_lm.scored(made).collect())
+    whole = bloom_lm.Filter
+
+    class Mapped(whole):
+        def __init__(self, chunks, filled):
+            whole.__init__(self, chunks, filled)
+            assert len(filled) == chunks * bloom_lm.CHUNK_BITS // 8 > 5_000_000
+            while isinstance(filled, np.ndarray):
+                filled = filled.base
+            assert isinstance(getattr(filled, "obj", filled), mmap.mmap)
+
+    monkeypatch.setattr(bloom_lm, "Filter", Mapped)
+    assert Counter(str(r) for r in bloom_lm.scored(made).collect()) == want
+    monkeypatch.setattr(bloom_lm, "Filter", whole)
+    # As where Spark encrypts its files: there the value is read whole.
+    chunks, filter_ = bloom_lm.filter_chunks(spark.createDataFrame([(i, i % 7 + 1) for i in range(100)], "key long, n long"))
+    model = spark.sparkContext.broadcast(bloom_lm.gathered(chunks, filter_))
+    filled, no_file = bloom_lm.mapped(model, chunks), types.SimpleNamespace(value=model.value)
+    assert (filled == bloom_lm.mapped(no_file, chunks)).all() and filled.any()
+
+
 def _written(spark):
     """Records and bytes that all stages so far wrote to shuffles."""
     sc = spark.sparkContext
