@@ -16,10 +16,12 @@ taken to be q(v)), so after a rare word, and where a probe is a false positive,
 of the logarithmic scale.  ``score`` is the sum of log10 p over the text's tokens.  ``base_score``
 uses the exact unigram counts.
 
-Bounds.  The filter takes BITS bits an item.  Up to MAX_FILTER_MB it is broadcast, and
-the workers of a machine map the one file in which Spark keeps it there; a larger one stays distributed in its chunks, which the distinct keys of every block of
-documents meet in a join.  All counts of the corpus stay distributed: the words beyond
-the common ones meet their exact counts in a join on the word's hash.
+Bounds.  Texts come to the workers SCORE_CHARS bytes (or one longer text) at a time.
+The filter takes BITS bits an item.  Up to MAX_FILTER_MB it is broadcast, and the
+workers of a machine map the one file in which Spark keeps it there; a larger one
+stays distributed in its chunks, which the distinct keys of every block of documents
+meet in a join.  All counts of the corpus stay distributed: the words beyond the
+common ones meet their exact counts in a join on the word's hash.
 
 A null text is empty: one token.  Rows that repeat an id are documents of their own,
 in training as well.  Without training documents every count is 0 and V and N are 0.
@@ -39,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampspark.llm.common import Scratch, blocks, crc_mod, shuffles_freed, text_or_empty
+from ampspark.llm.common import Scratch, batches_bounded, blocks, crc_mod, shuffles_freed, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 COMMON = 1 << 16
@@ -134,8 +136,12 @@ def _summed(key: np.ndarray, columns: tuple[np.ndarray, ...], n: np.ndarray | No
 def _part_key(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
     """A bigram's part (``bits`` of its key), 20 bits of its first word and the rest of the key: bigrams of a word lie together in a part."""
     key = pair_key(first, second).view(np.uint64)
-    word, rest = mix(first.astype(np.uint64)) >> U(44), U((1 << (44 - bits)) - 1)
-    return (key & ~U((1 << (64 - bits)) - 1)) | (word << U(44 - bits)) | (key & rest)
+    key &= ~U((1 << (64 - bits)) - 1) | U((1 << (44 - bits)) - 1)
+    word = mix(first.astype(np.uint64))
+    word >>= U(44)
+    word <<= U(44 - bits)
+    word |= key
+    return word
 
 
 def _parted(word: bool, bits: int, key: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
@@ -157,17 +163,28 @@ def _counter(bits: int):
                 n += len(held[-1])
                 if n >= FLUSH:
                     yield from flushed(held)
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from flushed(held)
 
-    def flushed(texts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        flat = np.concatenate(texts)
-        before = np.concatenate((flat[-1:], flat[:-1]))  # every text ends with the end
+    def flushed(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        """Empties ``held``; what it yields is sent when the arrays it came from are gone."""
+        flat = np.concatenate(held)
+        held.clear()
+        yield words(flat)
+        found = bigrams(flat)
+        del flat
+        yield found
+
+    def words(flat: np.ndarray) -> pd.DataFrame:
         key, n = _summed(flat.view(np.uint64), ())
-        yield _parted(True, bits, key, key, n.astype(np.uint32))
+        return _parted(True, bits, key, key, n.astype(np.uint32))
+
+    def bigrams(flat: np.ndarray) -> pd.DataFrame:
+        before = np.concatenate((flat[-1:], flat[:-1]))  # every text ends with the end
         key, a, b, n = _summed(_part_key(before, flat, bits), (before, flat))
-        yield _parted(False, bits, key, a, b, n.astype(np.uint32))
+        del before
+        return _parted(False, bits, key, a, b, n.astype(np.uint32))
 
     return count
 
@@ -469,7 +486,7 @@ def _joined(scratch: Scratch, ready: DataFrame, chunks: int, made: DataFrame, co
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document."""
-    with shuffles_freed(docs.sparkSession):
+    with shuffles_freed(docs.sparkSession), batches_bounded(docs.sparkSession, SCORE_CHARS):
         return _scored(docs, Scratch(docs.sparkSession))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +87,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of a query that runs inside go when it ends, not when the driver next collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def configured(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the queries that run inside."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -101,6 +100,16 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """The shuffle files of a query that runs inside go when it ends, not when the driver next collects garbage."""
+    return configured(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def batches_bounded(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Queries that run inside send rows to Python in batches of ``most`` bytes (or one longer row), not only of so many rows."""
+    return configured(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

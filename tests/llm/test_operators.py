@@ -560,6 +560,19 @@ def test_bloom_lm_workers_hold_no_copy_of_the_filter(spark, monkeypatch):
     assert (filled == bloom_lm.mapped(no_file, chunks)).all() and filled.any()
 
 
+def test_bloom_lm_batches_of_long_texts_are_bounded(spark, monkeypatch):
+    made = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id % 7, ' '), 30000)").alias("text")).coalesce(1)
+    split = bloom_lm.blocks
+
+    def bounded(lengths, *most):
+        assert sum(lengths) <= 2 * bloom_lm.SCORE_CHARS
+        return split(lengths, *most)
+
+    monkeypatch.setattr(bloom_lm, "blocks", bounded)
+    assert {r.n_tokens for r in bloom_lm.scored(made).collect()} == {30_001}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
 def _written(spark):
     """Records and bytes that all stages so far wrote to shuffles."""
     sc = spark.sparkContext
