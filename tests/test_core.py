@@ -238,3 +238,73 @@ IN_BATCHES = {
 def test_reads_are_made_in_batches(spark, name):
     plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "regexp" not in plan and plan.count("Join ") == IN_BATCHES[name]
+
+
+def bin_of(r) -> int:
+    return int(batches.error_bin(batches.mean_error(batches.best_run_quality(batches.Flat.of(pa.array([r.seq])), batches.Flat.of(pa.array([r.qual]))), clamp=True))[0])
+
+
+def lead(rows, p):
+    """The clustering of one sample, a read and a minimizer at a time."""
+    rows = rows.sort_values(["score", "read_id"], ascending=[False, True])
+    index: dict[str, set[int]] = {}
+    reps: dict[int, tuple] = {}
+    out = []
+    for r in rows.itertuples():
+        ms = kernels.lexicographic_minimizers(r.hpc, p.k, p.w)
+        found: dict[int, list[tuple[int, int]]] = {}
+        for idx, (km, pos) in enumerate(ms):
+            for c in index.get(km, ()):
+                found.setdefault(c, []).append((idx, pos))
+        order = sorted(found, key=lambda c: (len(found[c]), sum(x for _, x in found[c]), c), reverse=True)
+        top = len(found[order[0]]) if order else 0
+        chosen = None
+        if top >= p.min_shared:
+            for c in order:
+                if len(found[c]) < max(p.min_fraction * top, p.min_shared):
+                    break
+                q = 1 - leader.closed_form_share(bin_of(r), reps[c][1], p.k)
+                own, rep = leader._ratio(found[c], len(ms), len(r.hpc), reps[c][2], q, p.min_prob_no_hits)
+                if (min(own, rep) if p.symmetric else own) > p.mapped_threshold:
+                    chosen = c
+                    break
+            if chosen is None and p.align:
+                for c in order:
+                    if len(found[c]) < top:
+                        break
+                    error_sum = r.error_rate + reps[c][3]
+                    opened = 5 if error_sum <= 0.01 else 4 if error_sum <= 0.04 else 3 if error_sum <= 0.1 else 2
+                    s, t = kernels.align(r.seq, reps[c][0], opened)
+                    if kernels.block_ratio(s, t, p.k, int((1 - error_sum) * p.k // 1)) >= p.aligned_threshold:
+                        chosen = c
+                        break
+        if chosen is None:
+            chosen = r.read_id
+            reps[chosen] = (r.seq, bin_of(r), len(r.hpc), r.error_rate)
+            for km, _ in ms:
+                index.setdefault(km, set()).add(chosen)
+        out.append((r.sample, r.read_id, chosen, r.score))
+    return {x[1]: x[2] for x in out}
+
+
+def _families(rng, letters: str, n: int = 120):
+    """Reads of two samples: mutated pieces of a few templates, so that they share some minimizers with several representatives."""
+    templates = ["".join(rng.choices(letters, k=500)) for _ in range(6)]
+    for i in range(n):
+        parts = "".join(t[rng.randrange(200) : rng.randrange(250, 500)] for t in rng.sample(templates, rng.randrange(1, 4)))
+        seq = "".join(c if rng.random() > 0.03 else rng.choice(letters) for c in parts)
+        yield i, seq, "".join(rng.choices("+,-./0123", k=len(seq))), "ab"[i % 3 == 0]
+
+
+@pytest.mark.parametrize("p", [leader.Params(align=False), leader.Params(align=False, symmetric=True, mapped_threshold=0.5), leader.Params(k=30, w=40, align=False), leader.Params(), leader.Params(k=9, w=11, min_shared=2, align=False)])
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTN"])
+def test_clusters_by_brute_force(spark, monkeypatch, p, letters):
+    monkeypatch.setattr(leader, "BLOCK_BYTES", 3000)
+    rows = list(_families(random.Random(11), letters, 40 if p.align else 120))
+    scored = reads.scored(spark.createDataFrame(rows, "read_id long, seq string, qual string, sample string"), p.k, 7.0)
+    got = {r.read_id: r.cl_id for r in leader.clustered(scored, p).collect()}
+    pdf = scored.toPandas()
+    want = {}
+    for _, one in pdf.groupby("sample"):
+        want |= lead(one, p)
+    assert got == want and 2 < len(set(got.values())) < len(got)
