@@ -231,6 +231,7 @@ def test_hits_are_the_same_where_representatives_are_joined(spark, monkeypatch):
 #: The reads' columns are made in batches, once a scan; what a query joins besides is in its second figure.
 IN_BATCHES = {
     "map_accept_binned": 0,
+    "mapped_ratio_binned": 0,
 }
 
 
@@ -308,3 +309,26 @@ def test_clusters_by_brute_force(spark, monkeypatch, p, letters):
     for _, one in pdf.groupby("sample"):
         want |= lead(one, p)
     assert got == want and 2 < len(set(got.values())) < len(got)
+
+
+def test_minimizer_df_counts_repeated_ids_once(spark, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30)
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 3).when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id")))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    by_read = queries.M(spark, str(tmp_path), out=("read_id", "km")).groupBy("km").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_id").alias("n_reads"))
+    want = sorted(map(tuple, by_read.collect()))
+    assert sorted(map(tuple, queries.minimizer_df(spark, str(tmp_path)).collect())) == want
+    monkeypatch.setattr(queries, "MAX_REPEATED", 0)
+    assert sorted(map(tuple, queries.minimizer_df(spark, str(tmp_path)).collect())) == want
+
+
+def test_bands_by_brute_force(spark):
+    from ampspark.operators import hits
+
+    rng = random.Random(8)
+    first = [(i, rng.choice("ab"), rng.randrange(4000)) for i in range(400)]
+    second = [(rng.choice("abc"), rng.randrange(0, 4000, 7)) for _ in range(9)] + [("a", 499), ("a", 500), ("b", 1000)]
+    a, b = spark.createDataFrame(first, "read_id long, km string, pos int"), spark.createDataFrame(second, "km string, pos int")
+    want = sorted(x for x in first if any(x[1] == km and abs(x[2] - pos) < 500 for km, pos in second))
+    for few in (False, True):
+        assert sorted(map(tuple, hits.shared_within(a, b, few=few).collect())) == want and 0 < len(want) < 400
