@@ -232,6 +232,7 @@ def test_hits_are_the_same_where_representatives_are_joined(spark, monkeypatch):
 IN_BATCHES = {
     "map_accept_binned": 0,
     "mapped_ratio_binned": 0,
+    "band_semi_join": 1,
 }
 
 
