@@ -233,6 +233,7 @@ IN_BATCHES = {
     "map_accept_binned": 0,
     "mapped_ratio_binned": 0,
     "band_semi_join": 1,
+    "candidate_rank": 0,
 }
 
 
