@@ -234,6 +234,7 @@ IN_BATCHES = {
     "mapped_ratio_binned": 0,
     "band_semi_join": 1,
     "candidate_rank": 0,
+    "shared_hits": 0,
 }
 
 
