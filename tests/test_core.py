@@ -235,6 +235,7 @@ IN_BATCHES = {
     "band_semi_join": 1,
     "candidate_rank": 0,
     "shared_hits": 0,
+    "map_accept": 0,
 }
 
 
