@@ -236,6 +236,7 @@ IN_BATCHES = {
     "candidate_rank": 0,
     "shared_hits": 0,
     "map_accept": 0,
+    "minimizers": 0,
 }
 
 
