@@ -237,6 +237,7 @@ IN_BATCHES = {
     "shared_hits": 0,
     "map_accept": 0,
     "minimizers": 0,
+    "mapped_ratio": 0,
 }
 
 
