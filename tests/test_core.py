@@ -239,6 +239,7 @@ IN_BATCHES = {
     "minimizers": 0,
     "mapped_ratio": 0,
     "band_semi_join_all": 1,
+    "primer_hits": 0,
 }
 
 
