@@ -240,6 +240,7 @@ IN_BATCHES = {
     "mapped_ratio": 0,
     "band_semi_join_all": 1,
     "primer_hits": 0,
+    "minimizers_sim_variant": 0,
 }
 
 
