@@ -241,6 +241,7 @@ IN_BATCHES = {
     "band_semi_join_all": 1,
     "primer_hits": 0,
     "minimizers_sim_variant": 0,
+    "minimizer_df": 0,
 }
 
 
