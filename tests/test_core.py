@@ -242,6 +242,7 @@ IN_BATCHES = {
     "primer_hits": 0,
     "minimizers_sim_variant": 0,
     "minimizer_df": 0,
+    "scored_reads": 0,
 }
 
 
