@@ -243,6 +243,7 @@ IN_BATCHES = {
     "minimizers_sim_variant": 0,
     "minimizer_df": 0,
     "scored_reads": 0,
+    "top_reads": 0,
 }
 
 
