@@ -244,6 +244,7 @@ IN_BATCHES = {
     "minimizer_df": 0,
     "scored_reads": 0,
     "top_reads": 0,
+    "hpc_quality": 0,
 }
 
 
