@@ -245,6 +245,7 @@ IN_BATCHES = {
     "scored_reads": 0,
     "top_reads": 0,
     "hpc_quality": 0,
+    "length_quality_filter": 0,
 }
 
 
