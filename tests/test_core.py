@@ -246,6 +246,7 @@ IN_BATCHES = {
     "top_reads": 0,
     "hpc_quality": 0,
     "length_quality_filter": 0,
+    "error_stats": 0,
 }
 
 
