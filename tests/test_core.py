@@ -247,6 +247,7 @@ IN_BATCHES = {
     "hpc_quality": 0,
     "length_quality_filter": 0,
     "error_stats": 0,
+    "prob_lookup": 1,
 }
 
 
